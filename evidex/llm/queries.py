@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.llm.history import repeats
 from evidex.llm.near_duplicates import expand_pairs, near_duplicates
 from evidex.runtime import table
 
@@ -19,8 +20,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return expand_pairs(pairs, members)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that repeat an accepted earlier one, in order of ingestion."""
+    batches = table(spark, folder, "doc_records").select(F.col("record_id").alias("id"), F.col("ingested_at").alias("at"), F.col("content").alias("text"))
+    return repeats(batches).select(F.col("id").alias("record_id"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
