@@ -14,49 +14,75 @@ ingestion: a record is a repeat if it is similar to an accepted earlier one.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from evidex.llm.similarity import WIDTH, verified_pairs
+from evidex.llm.similarity import WIDTH, normalise, verified_pairs
 from evidex.runtime import materialize
 
 COVER = 0.25
 LEAST = 40
-_CUT = r"\n+|(?<=[.!?।؟])\s+|(?<=[。！？])|(?<=[฀-๿]) +(?=[฀-๿])"
-
-
-def _normal(text: F.Column) -> F.Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-
-
-def records(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, at, digest, text) of the rows of ``df`` (id, at, text) that take part: known time, long enough."""
-    rx = r"^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+$"
+_CUT = re.compile(r"\n+|(?<=[.!?।؟])\s+|(?<=[。！？])|(?<=[฀-๿]) +(?=[฀-๿])")
+_HASHED = "id bigint, at timestamp_ntz, digest binary, total bigint, parts array<bigint>"
+
+
+def _hash_texts(least: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for i, at, text in zip(pdf["id"], pdf["at"], pdf["text"]):
+                if len(text.strip()) < least:
+                    continue
+                digest = hashlib.blake2b(normalise(text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                kept = {}
+                for part in _CUT.split(text):
+                    if part := normalise(part):
+                        size = min(len(part), 4095)
+                        h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) & ~4095 | size
+                        kept[h - (1 << 64) if h >> 63 else h] = size
+                rows.append((i, at, digest, sum(kept.values()), list(kept)))
+            yield pd.DataFrame(rows, columns=["id", "at", "digest", "total", "parts"])
+
+    return run
+
+
+def hashed(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, at, digest, total, parts) of the rows of ``df`` (id, at, text) that take part: known time, long enough.
+
+    ``digest`` is of the normalised text; ``parts`` are distinct paragraph hashes, whose low 12 bits
+    are the paragraph's length (longer ones count 4095); ``total`` is their length together.
+    """
     fit = df.select("id", "at", "text").where(F.col("at").isNotNull() & (F.length("text") >= least))
-    fit = fit.where(F.length(F.regexp_replace("text", rx, "")) >= least)
-    return fit.withColumn("digest", F.unhex(F.md5(_normal(F.col("text")))))
+    return fit.mapInPandas(_hash_texts(least), _HASHED)
+
 
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """(id, at, total, h, size), a row per distinct paragraph."""
+    return rows.select("id", "at", "total", F.explode("parts").alias("h")).withColumn("size", F.col("h").bitwiseAND(F.lit(4095)))
 
-def paragraphs(df: DataFrame) -> DataFrame:
-    """(id, at, total, h, size): distinct paragraph hashes of each record; ``total`` is their length together."""
-    parts = F.filter(F.transform(F.split("text", _CUT), _normal), lambda p: p != "")
-    # one number holds hash and length: the low 12 bits are the length, longer ones count 4095
-    packed = F.array_distinct(F.transform(parts, lambda p: F.shiftleft(F.shiftright(F.xxhash64(p), 12), 12) + F.least(F.length(p), F.lit(4095))))
-    size = lambda h: h.bitwiseAND(F.lit(4095))
-    got = df.select("id", "at", packed.alias("p"))
-    got = got.withColumn("total", F.aggregate("p", F.lit(0).cast("long"), lambda s, h: s + size(h)))
-    return got.select("id", "at", "total", F.explode("p").alias("h")).withColumn("size", size(F.col("h")))
 
+def _covered(new: DataFrame, seen: DataFrame, cover: float) -> DataFrame:
+    """(a, b): new records a, and earlier ones b that share enough of a's paragraphs to be compared.
 
-def _probes(new: DataFrame, seen: DataFrame, cover: float) -> tuple[DataFrame, DataFrame]:
-    """Rarest paragraphs of each new record that others hold too, and the rows of ``seen`` they may meet."""
+    What a shares with b beyond its probes is at most ``rest``, the length of the paragraphs it left out.
+    """
     common = materialize(seen.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    held = seen.join(common, "h", "left_semi")
     falling = W.partitionBy("id").orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0)
-    probe = new.join(common, "h").withColumn("upto", F.sum("size").over(falling)).where(F.col("upto") >= cover * F.col("total"))
-    return probe.select("id", "at", "h"), held.select("id", "at", "h", "old")
+    need = cover * F.col("total")
+    probe = new.join(common, "h").withColumn("upto", F.sum("size").over(falling)).withColumn("left_out", F.when(F.col("upto") < need, F.col("size")).otherwise(0))
+    probe = probe.withColumn("rest", F.sum("left_out").over(W.partitionBy("id"))).where(F.col("upto") >= need)
+    probe = probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), "h", "size", (need - F.col("rest")).alias("need"))
+    held = seen.join(common, "h", "left_semi").select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
+    met = probe.join(held, "h").where("old or at_b < at_a or (at_b = at_a and b < a)")
+    return met.groupBy("a", "b").agg(F.sum("size").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
 
 
 def accept_in_order(links: DataFrame) -> DataFrame:
@@ -83,25 +109,21 @@ def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: floa
     Rows with null ``at``, null, empty or short text take no part and are no repeats; ties in ``at``
     go by id; ids must be unique; other columns are not read; an empty batch gives no rows.
     """
-    rows = records(batch, least)
+    rows = materialize(hashed(batch, least), "hashed")
     first = rows.groupBy("digest").agg(F.min(F.struct("at", "id")).alias("first"))
     copies = rows.select("digest", "id").join(first, "digest").select("digest", "id", F.col("first.id").alias("rep"))
     if history is not None:
         known = materialize(copies.join(history.digests(), "digest", "left_semi").select("id"), "known")
         copies = copies.join(known, "id", "left_anti")
     copies = materialize(copies.select("id", "rep"), "copies")
-    reps = rows.join(copies.where("id = rep").select("id"), "id", "left_semi").select("id", "at", "text")
-    new = materialize(paragraphs(reps).withColumn("old", F.lit(False)), "paragraphs")
-    seen, texts = new, reps.select("id", "text")
+    new = paragraphs(rows.join(copies.where("id = rep").select("id"), "id", "left_semi")).withColumn("old", F.lit(False))
+    new = materialize(new, "paragraphs")
+    seen, texts = new, batch.select("id", "text")
     if history is not None:
         met = history.paragraphs().join(new.select("h").distinct(), "h", "left_semi")
         seen = new.unionByName(materialize(met.withColumn("old", F.lit(True)), "met"))
         texts = texts.unionByName(history.texts())
-    probe, held = _probes(new, seen, cover)
-    probe = probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), "h")
-    held = held.select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
-    met = probe.join(held, "h").where("old or at_b < at_a or (at_b = at_a and b < a)")
-    pairs = materialize(met.select("a", "b").distinct(), "covered")
+    pairs = materialize(_covered(new, seen, cover), "covered")
     links = materialize(verified_pairs(pairs, texts, minimum, width).select(F.col("b").alias("early"), F.col("a").alias("late")), "links")
     cases = accept_in_order(links)
     found = copies.join(cases.withColumnRenamed("id", "rep"), "rep", "left_semi").select("id")
@@ -141,8 +163,8 @@ class HistoryIndex:
     def take(self, batch: DataFrame, **settings) -> DataFrame:
         batch = batch.select(F.col("id").cast(T.LongType()), F.col("at").cast(T.TimestampNTZType()), "text")
         found = materialize(repeats(batch, self, **settings), "repeats")
-        fresh = materialize(records(batch).join(found, "id", "left_anti"), "fresh")
-        fresh.select("id", "text").write.insertInto(f"{self._name}_texts")
+        fresh = materialize(hashed(batch).join(found, "id", "left_anti"), "fresh")
+        batch.join(fresh, "id", "left_semi").select("id", "text").write.insertInto(f"{self._name}_texts")
         paragraphs(fresh).select("id", "at", "total", "h", "size").write.insertInto(f"{self._name}_paragraphs")
         fresh.select("digest", "id").write.insertInto(f"{self._name}_digests")
         return found
