@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.llm.bpe import encode_corpus
 from evidex.llm.history import repeats
 from evidex.llm.near_duplicates import expand_pairs, near_duplicates
+from evidex.llm.sentences import sentence_ends
+from evidex.llm.splitting import split_oversized
 from evidex.runtime import table
 
 
@@ -26,9 +29,50 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(batches).select(F.col("id").alias("record_id"))
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents as items; one of under 40 characters but for the blanks around it is no case."""
+    blanks = F.lit(" \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\u00a0\u2002\u2003\u2009\u200a\u2028\u2029\u202f\u3000")
+    rows = table(spark, folder, "doc_records").where(F.length("content") >= 40).where(F.length(F.btrim("content", blanks)) >= 40)
+    return rows.select(F.lit("record").alias("item_kind"), F.col("record_id").cast("string").alias("item_id"), F.col("content").alias("text"), "parser_version")
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text", "chunk_type")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """End of every sentence of the chunks of prose and the records not scanned."""
+    records = _records(spark, folder).where("parser_version = 'v1'")
+    chunks = _chunks(spark, folder).where("chunk_type in ('summary', 'section')")
+    return sentence_ends(records).unionByName(sentence_ends(chunks, unique=True))
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the items above the limit: 2,000 tokens for records, 500 for chunks."""
+    records = _records(spark, folder).withColumn("limit", F.lit(2000))
+    chunks = _chunks(spark, folder).withColumn("limit", F.lit(500))
+    return split_oversized(records.drop("parser_version").unionByName(chunks.drop("chunk_type")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that had to be cut: those of more than one piece."""
+    return p6_pieces(spark, folder).where("piece = 1").select("item_kind", "item_id")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {q.__name__: q for q in (p1_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": """
+            select distinct 'record' as item_kind, cast(record_id as varchar) as item_id from doc_records
+            where floor(length(content) / 4) > 2000 and length(trim(content)) >= 40
+            union all
+            select distinct 'chunk', chunk_id from chunks where floor(length(text) / 4) > 500""",
+    }
