@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidex.llm.bpe import encode_corpus
 from evidex.llm.history import repeats
 from evidex.llm.near_duplicates import expand_pairs, near_duplicates
+from evidex.llm.neighbours import nearest
 from evidex.llm.sentences import sentence_ends
 from evidex.llm.splitting import split_oversized
 from evidex.runtime import table
@@ -29,6 +30,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(batches).select(F.col("id").alias("record_id"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of points of cosine of at least 0.80, one among the ten most similar of the other."""
+    points = table(spark, folder, "vector_points").select(F.col("point_id").alias("id"), F.col("upserted_at").alias("at"), F.col("dense_vector").alias("vec"))
+    found = nearest(points, k=10, minimum=0.8)
+    return found.select(F.least("q", "x").alias("point_a"), F.greatest("q", "x").alias("point_b")).distinct()
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """Contents as items; one of under 40 characters but for the blanks around it is no case."""
     blanks = F.lit(" \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\u00a0\u2002\u2003\u2009\u200a\u2028\u2029\u202f\u3000")
@@ -65,7 +73,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids)}
+    return {q.__name__: q for q in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
