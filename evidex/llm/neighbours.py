@@ -22,11 +22,11 @@ from pyspark.sql.window import Window as W
 
 from evidex.runtime import materialize
 
-FACTOR = 0.1
+FACTOR = 0.08
 #: Vectors the upper tree is fitted on, at most.
 SAMPLE = 16_384
 LEAF = 64
-LEAST_SHARDS, PER_SHARD = 64, 50_000
+LEAST_SHARDS, PER_SHARD = 32, 50_000
 #: Repeated or stale vectors up to this many are told to the scan by broadcast; more go by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -222,8 +222,7 @@ def nearest(df: DataFrame, k: int = 10, minimum: float = 0.0, factor: float = FA
     several = materialize(classes.where("n > 1").select("h", "rep"), "classes")
     apart = stale.unionByName(several.select("h")).distinct()
     apart = materialize(apart.join(classes.select("h", "rep"), "h", "left"), "apart")
-    if apart.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        apart = F.broadcast(apart)
+    apart = _told(apart)
     plain = vectors.join(apart.select("h"), "h", "left_anti").select("id", "vec")
     mixed = vectors.join(apart, "h").where("id = rep").select("id", "vec").dropDuplicates(["id"])
     reps = plain.unionByName(mixed)
@@ -239,20 +238,20 @@ def nearest(df: DataFrame, k: int = 10, minimum: float = 0.0, factor: float = FA
 
     routed = reps.mapInArrow(_route(upper, reach, dims), "shard int, id string, vec binary")
     found = routed.groupBy("shard").applyInArrow(_search_shard(k, minimum, factor, dims), "q string, x string, cosine double")
+    if not several.isEmpty():
+        found = _with_copies(found, materialize(latest.join(several, "h").select("rep", "id"), "members"), several, k)
     best = W.partitionBy("q").orderBy(F.col("cosine").desc(), "x")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-    return _with_copies(found, latest, several, k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
-def _with_copies(found: DataFrame, latest: DataFrame, several: DataFrame, k: int) -> DataFrame:
+def _told(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast while it is small, by count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _with_copies(found: DataFrame, members: DataFrame, several: DataFrame, k: int) -> DataFrame:
     """Neighbours of all members, from those of representatives. A class counts with its k + 1 least ids at most in any list."""
-    if several.isEmpty():
-        return found
-    found = materialize(found, "neighbours")
-    members = latest.join(several, "h").select("rep", "id")
     least = members.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("i") <= k + 1).drop("i")
     own = several.select(F.col("rep").alias("q"), F.col("rep").alias("x"), F.lit(1.0).alias("cosine"))
-    lists = found.unionByName(own).join(least.withColumnRenamed("rep", "x"), "x", "left").select("q", F.coalesce("id", "x").alias("x"), "cosine")
-    asked = lists.join(members.withColumnRenamed("rep", "q"), "q", "left").select(F.coalesce("id", "q").alias("q"), "x", "cosine").where("q <> x")
-    best = W.partitionBy("q").orderBy(F.col("cosine").desc(), "x")
-    return asked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    lists = found.unionByName(own).join(_told(least.withColumnRenamed("rep", "x")), "x", "left").select("q", F.coalesce("id", "x").alias("x"), "cosine")
+    return lists.join(_told(members.withColumnRenamed("rep", "q")), "q", "left").select(F.coalesce("id", "q").alias("q"), "x", "cosine").where("q <> x")
