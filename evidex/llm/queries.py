@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from evidex.llm.bpe import encode_corpus
 from evidex.llm.history import repeats
+from evidex.llm.mixing import mix
 from evidex.llm.near_duplicates import expand_pairs, near_duplicates
 from evidex.llm.neighbours import nearest
 from evidex.llm.sentences import sentence_ends
 from evidex.llm.splitting import split_oversized
+from evidex.llm.truncation import truncated, truncation_rates
 from evidex.runtime import table
 
 
@@ -72,8 +74,30 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that cannot reach their target share."""
+    _, report = mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return report.where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target shares and those reached."""
+    _, report = mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return report
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source, how many of its documents were cut off."""
+    return truncation_rates(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids)}
+    return {q.__name__: q for q in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
