@@ -10,6 +10,7 @@ from evidex.llm.history import repeats
 from evidex.llm.mixing import mix
 from evidex.llm.near_duplicates import expand_pairs, near_duplicates
 from evidex.llm.neighbours import nearest
+from evidex.llm.scanned import findings, repaired
 from evidex.llm.sentences import sentence_ends
 from evidex.llm.splitting import split_oversized
 from evidex.llm.truncation import truncated, truncation_rates
@@ -32,6 +33,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(batches).select(F.col("id").alias("record_id"))
 
 
+def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, folder, "doc_records")
+    return records.where("parser_version = 'v2'"), records.where("parser_version is distinct from 'v2'")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of scanned contents that are furniture, end in a broken word or hold a misread character."""
+    return findings(*_scanned(spark, folder)).select("record_id", "line_no", "kind").distinct()
+
+
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned contents as continuous paragraphs."""
+    return repaired(*_scanned(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points of cosine of at least 0.80, one among the ten most similar of the other."""
     points = table(spark, folder, "vector_points").select(F.col("point_id").alias("id"), F.col("upserted_at").alias("at"), F.col("dense_vector").alias("vec"))
@@ -97,7 +113,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
+    return {q.__name__: q for q in (p1_found, p2_found, p2_texts, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
