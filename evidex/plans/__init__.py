@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("expressions", "merging", "retrieval")
+_MODULES = ("expressions", "merging", "retrieval", "checking")
 
 
 def registry() -> dict:
