@@ -15,7 +15,8 @@ from evidex.functions import scoring, text
 from evidex.operators import checks, monitoring
 from evidex.operators import retrieve as R
 from evidex.plans import sql as S
-from evidex.plans.expressions import _CHUNKS, _DOCS, chunks
+from evidex.operators.validate import validate_documents
+from evidex.plans.expressions import _CHUNKS, _DOCS, _JUDGED, chunks
 from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _sparse_topk_sql, _vectors, questions
 from evidex.runtime import table
 
@@ -196,9 +197,9 @@ _ISSUES = f"""select record_id, 'NOT_FOUND' as issue, 'HIGH' as severity from do
 
 
 def citations_missing(spark, d):
-    """Index points that cite a document that is not stored."""
+    """Index points that cite a document of which no valid record is stored."""
     points = table(spark, d, "vector_points").select("point_id", F.col("payload")["doc_id"].alias("doc_id")).distinct()
-    stored = table(spark, d, "doc_records").where("content is not null").select("doc_id")
+    stored = validate_documents(table(spark, d, "doc_records")).where("ok").select("doc_id")
     return points.join(stored, "doc_id", "left_anti").select("point_id", "doc_id")
 
 
@@ -329,7 +330,7 @@ QUERIES = {
     "grounding_score": (grounding_score, _GROUND + " select chunk_id, count(*) as sentences, round(least(1.0::double, sum(case when length(sentence) < 20 or ends_with(sentence, ':') then 0.0::double else (case when len(names) > 1 then 0.3 else 0 end)::double + (case when len(numbers) > 0 then 0.3 else 0 end)::double end) / count(*)), 6) as risk from x group by chunk_id"),
     "safety_check": (safety_check, _safety_sql()),
     "citation_check": (citation_check, _ISSUES),
-    "citations_missing": (citations_missing, "select distinct point_id, payload['doc_id'] as doc_id from vector_points where payload['doc_id'] is null or payload['doc_id'] not in (select doc_id from doc_records where content is not null)"),
+    "citations_missing": (citations_missing, f"select distinct point_id, payload['doc_id'] as doc_id from vector_points where payload['doc_id'] is null or payload['doc_id'] not in (select doc_id from {_JUDGED} where reason is null)"),
     "evidence_distribution": (evidence_distribution, "select source_type, " + ", ".join(f"count_if(coalesce(evidence_level, 3) = {n}) as grade_{n}" for n in range(1, 6)) + ", round(avg(coalesce(evidence_level, 3)), 6) as average from doc_records group by source_type"),
     "trusted_ratio": (trusted_ratio, f"select doc_id, round(avg(list_contains({S.listed(list(L.TRUSTED))}, coalesce(source_type, ''))::int), 6) as trusted from doc_records group by doc_id"),
     "consistency": (consistency, _CONSISTENCY),

@@ -183,6 +183,9 @@ _CHUNK_REASON = f"""case when length(y) = 0 then 'blank' when length(y) < 80 the
  when length(regexp_replace(y, '[^A-Za-z]', '', 'g'))::double / length(y) < 0.4 then 'few letters' end"""
 
 
+_JUDGED = f"(select *, {_DOC_REASON} as reason from (select *, {S.strip(S.or_empty('title'))} as x, {S.strip(S.or_empty('content'))} as y from doc_records))"
+
+
 def validate_chunks_q(spark, d):
     return validate_chunks(chunks(spark, d)).select("chunk_id", "ok", "reason")
 
@@ -344,7 +347,7 @@ QUERIES = {
     "entities": (entities, "select record_id, " + ", ".join(f"array_to_string({S.entity_list('t', p, 10)}, '|') as {n}" for n, p in (("diseases", L.DISEASES), ("drugs", L.DRUGS), ("populations", L.POPULATIONS), ("outcomes", L.OUTCOMES))) + f", array_to_string(list_slice(list_filter({_DOSAGES}, lambda s, i: list_position({_DOSAGES}, s) = i), 1, 10), '|') as dosages, regexp_matches(t, {S.text(L.SAFETY)}) as has_safety_flag from {_DOCS}"),
     "quality_score": (quality_score, _quality_sql()),
     "quality_gate": (quality_gate, f"select * from ({_quality_sql()}) where quality >= 0.3"),
-    "validate_documents": (validate_documents_q, f"select record_id, reason is null as ok, reason from (select record_id, {_DOC_REASON} as reason from (select *, {S.strip(S.or_empty('title'))} as x, {S.strip(S.or_empty('content'))} as y from doc_records))"),
+    "validate_documents": (validate_documents_q, f"select record_id, reason is null as ok, reason from {_JUDGED}"),
     "validate_chunks": (validate_chunks_q, f"select chunk_id, reason is null as ok, reason from (select chunk_id, {_CHUNK_REASON} as reason from (select *, {S.strip(S.or_empty('text'))} as y from {_CHUNKS}))"),
     "rejected_chunks": (rejected_chunks, f"select chunk_id, reason from (select chunk_id, {_CHUNK_REASON} as reason from (select *, {S.strip(S.or_empty('text'))} as y from {_CHUNKS})) where reason is not null"),
     "clean_lines": (clean_lines_q, _CLEAN),
