@@ -21,7 +21,8 @@ SHORT = "Dr Prof Sra Sr Dra Mme Pr Abb Tab Fig Vgl env aprox Approx al vs bzw ca
 MARKS = r"(?:…|\[\.\.\.\]|\[…\]|�|(?<!\.)\.\.\.)"
 #: Rests of markup behind the last words.
 MARKUP = r"(?:</?[A-Za-z][^<>]{0,20}>?|&[a-z#]{0,6};?)"
-BLANK = r"[\s\x{85}\x{a0}\x{200b}\x{feff}\x{2028}\x{2029}\x{3000}]"
+BLANKS = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u3000\ufeff"
+TAIL = 400
 THAI = r"[\x{0e01}-\x{0e4e}]"
 END = (
     r"[!?。！？।؟]+[\x{22}”»“’)」』]*"
@@ -34,12 +35,15 @@ LIMIT, ODD_LIMIT = 0.012, 0.0015
 #: Probability that a word seen nowhere else is a whole last word.
 UNSEEN = 0.001
 
+# lateral views of one row keep an expression that is used several times from being evaluated each time;
+# what follows a cut is looked for in the last TAIL characters
 _BODIES = """
-select doc_id, source, body, body rlike '[!?。！？।؟.]["”»“’)」』]*$' as closed,
-       length(stripped) > length(body) and stripped rlike concat(:marks, '$') as marked
-from (select doc_id, source, stripped,
-             regexp_replace(regexp_replace(stripped, concat('(?:', :blank, '*(?:', :marks, '|', :markup, '))+$'), ''), concat(:blank, '+$'), '') as body
-      from (select doc_id, source, regexp_replace(text, concat(:blank, '+$'), '') as stripped from {documents} where text is not null))
+select doc_id, source, body, body rlike '[!?。！？।؟.]["”»“’)」』]*$' as closed, length(stripped) > length(body) and stripped_tail rlike concat(:marks, '$') as marked
+from (select doc_id, source, trim(trailing :blanks from text) as s from {documents} where text is not null)
+  lateral view explode(array(s)) x as stripped
+  lateral view explode(array(right(stripped, :tail))) y as stripped_tail
+  lateral view explode(array(trim(trailing :blanks from concat(left(stripped, greatest(length(stripped) - :tail, 0)),
+    regexp_replace(stripped_tail, concat('(?:[', :blanks, ']*(?:', :marks, '|', :markup, '))+$'), ''))))) z as body
 where body <> ''"""
 
 # the words of a text: digits alike, every end of a sentence or line as one sign
@@ -50,8 +54,8 @@ _ENDS = """
 select doc_id, marked, first, copies, w[n - 1] as last, if(n > 1, w[n - 2], '') as u, xxhash64(1, w[n - 1]) as h1,
        xxhash64(2, if(n > 1, w[n - 2], ''), w[n - 1]) as h2, xxhash64(3, if(n > 2, w[n - 3], ''), if(n > 1, w[n - 2], ''), w[n - 1]) as h3, xxhash64(1, if(n > 1, w[n - 2], '')) as hu
 from (select *, size(w) as n from (
-  select doc_id, marked, """ + _WORDS.format(text="substring(body, -400)") + """ as w, lower(regexp_extract(regexp_extract(body, '[^\\\\r\\\\n]*$', 0), :opener, 1)) as first,
-         count(*) over (partition by xxhash64(body), length(body)) as copies from {bodies}))
+  select doc_id, marked, """ + _WORDS.format(text="right(body, :tail)") + """ as ws, lower(regexp_extract(substring_index(replace(body, '\\r', '\\n'), '\\n', -1), :opener, 1)) as first,
+         count(*) over (partition by xxhash64(body), length(body)) as copies from {bodies} where not closed or right(body, 40) rlike :short) lateral view explode(array(ws)) x as w)
 where n > 0 and w[n - 1] <> '.'"""
 
 _OPENERS = """
@@ -62,14 +66,15 @@ group by first having count(*) >= 4 and count_if(not line rlike '[.!?。！？
 
 _COUNTS = """
 select g.h, count(*) as n, count_if(g.final) as t, approx_count_distinct(g.next) as ways
-from (select explode(flatten(transform(sequence(0, size(w) - 1), i -> if(w[i] = '.', array(), array(
-        struct(xxhash64(1, w[i]) as h, if(i + 1 < size(w), w[i + 1] = '.', odd) as final, if(i + 1 < size(w), xxhash64(w[i + 1]), null) as next),
-        struct(xxhash64(2, if(i > 0, w[i - 1], ''), w[i]) as h, if(i + 1 < size(w), w[i + 1] = '.', odd) as final, null as next),
-        struct(xxhash64(3, if(i > 1, w[i - 2], ''), if(i > 0, w[i - 1], ''), w[i]) as h, if(i + 1 < size(w), w[i + 1] = '.', odd) as final, null as next)))))) as g
-      from (select """ + _WORDS.format(text="body") + """ as w, o.first is not null as odd
-            from (select body, lower(regexp_extract(regexp_extract(body, '[^\\\\r\\\\n]*$', 0), :opener, 1)) as first from {bodies}) b
-            left join {openers} o on b.first = o.first)
-      where size(w) > 0)
+from (select stack(3, xxhash64(1, t), coalesce(nx = '.', odd), xxhash64(nx), xxhash64(2, p1, t), coalesce(nx = '.', odd), cast(null as bigint),
+                   xxhash64(3, p2, p1, t), coalesce(nx = '.', odd), cast(null as bigint)) as (h, final, next)
+      from (select odd, inline(arrays_zip(w, concat(array(''), slice(w, 1, greatest(size(w) - 1, 0))), concat(array('', ''), slice(w, 1, greatest(size(w) - 2, 0))),
+                                          concat(slice(w, 2, size(w)), array(cast(null as string))))) as (t, p1, p2, nx)
+            from (select """ + _WORDS.format(text="body") + """ as ws, o.first is not null as odd
+                  from (select body, lower(regexp_extract(substring_index(replace(body, '\\r', '\\n'), '\\n', -1), :opener, 1)) as first from {bodies}) b
+                  left join {openers} o on b.first = o.first) lateral view explode(array(ws)) x as w
+            where size(w) > 0)
+      where t <> '.') g
 left semi join {keys} k on g.h = k.h
 group by g.h"""
 
@@ -103,7 +108,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    settings = {"marks": MARKS, "markup": MARKUP, "blank": BLANK, "end": END, "word": WORD, "opener": r"^[^\p{L}\p{N}|]*([\p{L}\p{N}]+|\|)"}
+    settings = {"marks": MARKS, "markup": MARKUP, "blanks": BLANKS, "tail": TAIL, "end": END, "word": WORD, "short": r"(?<![\p{L}\p{N}-])(?:" + "|".join(SHORT) + r"|\p{Lu})\.[\x{22}”»“’)」』]*$", "opener": r"^[^\p{L}\p{N}|]*([\p{L}\p{N}]+|\|)"}
 
     def sql(query: str, name: str, write: bool = True, more: dict | None = None, **views: DataFrame) -> DataFrame:
         used = {k: v for k, v in {**settings, **(more or {})}.items() if f":{k}" in query}
