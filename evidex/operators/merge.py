@@ -27,6 +27,17 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, *order: str) -> DataFra
     return latest(table.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1))), key, "_new", *order).drop("_new")
 
 
+def zip_vectors(chunks: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
+    """``chunks`` (chunk_id, ...) with ``dense`` (chunk_id, vector) and ``sparse`` (chunk_id, sparse), joined by key.
+
+    A chunk without one of them, or a vector without a chunk, is an error when the rows are read.
+    """
+    both = chunks.withColumn("_c", F.lit(1)).join(dense.withColumn("_d", F.lit(1)), "chunk_id", "full_outer").join(sparse.withColumn("_s", F.lit(1)), "chunk_id", "full_outer")
+    whole = F.col("_c").isNotNull() & F.col("_d").isNotNull() & F.col("_s").isNotNull()
+    checked = F.when(whole, F.col("chunk_id")).otherwise(F.raise_error(F.concat(F.lit("chunk and vectors do not match: "), F.coalesce("chunk_id", F.lit("null")))))
+    return both.withColumn("chunk_id", checked).drop("_c", "_d", "_s")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key by ``order``."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -16,6 +16,13 @@ def once(runs: DataFrame) -> DataFrame:
     return runs.dropDuplicates()
 
 
+def finished(runs: DataFrame) -> DataFrame:
+    """Runs with status and duration derived: failed with an error message, completed with an end, else running."""
+    status = F.when(F.col("error_message").isNotNull(), "failed").when(F.col("finished_at").isNotNull(), "completed").otherwise("running")
+    seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    return once(runs).withColumn("status", status).withColumn("duration_seconds", F.round(seconds, 1))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """Totals per source and status, and over all (nulls), of runs that count once."""
     sums = [F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in COUNTERS]

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from evidex.functions import classify as C
 from evidex.functions import lexicons as L
 from evidex.functions import scoring, text
-from evidex.operators import checks, monitoring
+from evidex.operators import checks, monitoring, understand
 from evidex.operators import retrieve as R
 from evidex.plans import sql as S
 from evidex.operators.validate import validate_documents
@@ -48,14 +48,7 @@ def _route_sql() -> str:
 
 def decompose(spark, d):
     """Sub-queries of each question by rule."""
-    q = F.lower("query")
-    intent = C.query_intent(q)
-    made = []
-    for name, lead, focus, priority, source, words in L.SUB_QUERIES:
-        one = F.struct(F.lit(name).alias("sub_id"), F.concat(F.lit(lead), F.col("query")).alias("sub_query"), F.lit(focus).alias("focus"), F.lit(priority).cast("bigint").alias("priority"), F.lit(source).alias("source_filter"))
-        test = text.contains_any(q, words) if words else F.lit(True)
-        made.append(F.when(test | (intent == "therapeutic") if focus in ("treatment", "dosage") else test, one))
-    return questions(spark).select("query_id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("s")).select("query_id", "s.*")
+    return understand.decompose(questions(spark)).withColumn("priority", F.col("priority").cast("bigint"))
 
 
 def _decompose_sql() -> str:

@@ -20,6 +20,11 @@ PUBMED_ARTICLE = (
     "KeywordList:struct<Keyword:array<struct<_VALUE:string>>>>,"
     "PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string,_IdType:string>>>>"
 )
+#: A PMC article as the XML reader sees it, below the row tag.
+PMC_ARTICLE = (
+    "front struct<`article-meta`:struct<`title-group`:struct<`article-title`:string>,abstract:struct<p:array<string>,_VALUE:string>,"
+    "`pub-date`:array<struct<year:string>>,`article-id`:array<struct<_VALUE:string,`_pub-id-type`:string>>>>"
+)
 WHO_ITEM = ("name string, handle string, metadata array<struct<key:string,value:string>>")
 CDC_ITEM = ("title string, description string, datePublished string, sourceUrl string")
 EVENT = ("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.text import strip
-from evidex.schemas import CDC_ITEM, DOCUMENT, PUBMED_ARTICLE, WHO_ITEM
+from evidex.schemas import CDC_ITEM, DOCUMENT, PMC_ARTICLE, PUBMED_ARTICLE, WHO_ITEM
 
 
 def shaped(df: DataFrame, **columns: Column) -> DataFrame:
@@ -68,6 +68,25 @@ def pubmed_xml(spark: SparkSession, path: str, source_type: str = "pubmed") -> D
     return found.withColumn("doc_id", document_key(F.col("pmid"), F.col("doi"), F.col("url"), F.col("title"), F.col("content")))
 
 
+def cochrane_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of the Cochrane reviews among XML files; title and abstract are both needed."""
+    found = pubmed_xml(spark, path, "cochrane").where("title <> '' and abstract <> ''")
+    return found.where(F.lower("journal").contains("cochrane"))
+
+
+def pmc_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of PMC files: title and abstract are needed; address by PMC id, DOI column by PMID, else PMC id."""
+    rows = spark.read.format("xml").option("rowTag", "article").option("mode", "PERMISSIVE").schema(PMC_ARTICLE).load(path)
+    m = F.col("front")["article-meta"]
+    abstract = strip(F.coalesce(F.nullif(F.array_join(m["abstract"]["p"], " "), F.lit("")), m["abstract"]["_VALUE"], F.lit("")))
+    of = lambda kind: F.get(F.transform(F.filter(m["article-id"], lambda i: i["_pub-id-type"] == kind), lambda i: F.trim(i["_VALUE"])), F.lit(0))
+    pmc, pmid = of("pmc"), of("pmid")
+    url = F.when(pmc.isNotNull(), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/PMC"), pmc, F.lit("/")))
+    doi = F.when(pmid.isNotNull(), F.concat(F.lit("PMID:"), pmid)).when(pmc.isNotNull(), F.concat(F.lit("PMC:"), pmc))
+    found = shaped(rows, title=strip(F.coalesce(m["title-group"]["article-title"], F.lit(""))), abstract=abstract, content=abstract, year=_first_year(F.get(m["pub-date"], F.lit(0))["year"]), url=url, doi=doi, pmid=pmid, source_type=F.lit("statpearls"))
+    return found.where("title <> '' and content <> ''").withColumn("doc_id", document_key(F.col("pmid"), F.col("doi"), F.col("url"), F.col("title"), F.col("content")))
+
+
 def who_items(spark: SparkSession, path: str) -> DataFrame:
     """Items with a list of key and value pairs: keys become lists, with their alternatives for title and text."""
     rows = spark.read.schema(WHO_ITEM).json(path)
