@@ -69,10 +69,11 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return rows.select("id", "at", "total", F.explode("parts").alias("h")).withColumn("size", F.col("h").bitwiseAND(F.lit(4095)))
 
 
-def _covered(new: DataFrame, seen: DataFrame, cover: float) -> DataFrame:
-    """(a, b): new records a, and earlier ones b that share enough of a's paragraphs to be compared.
+def _covered(new: DataFrame, seen: DataFrame, parts: DataFrame, cover: float) -> DataFrame:
+    """(a, b): new records a, and earlier ones b that share ``cover`` of the length of a's paragraphs.
 
-    What a shares with b beyond its probes is at most ``rest``, the length of the paragraphs it left out.
+    What a shares with b beyond its probes is at most ``rest``, the length of the paragraphs it left
+    out; pairs that may reach the share are then measured over all ``parts`` (id, total, parts) of both.
     """
     common = materialize(seen.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
     falling = W.partitionBy("id").orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0)
@@ -82,7 +83,10 @@ def _covered(new: DataFrame, seen: DataFrame, cover: float) -> DataFrame:
     probe = probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), "h", "size", (need - F.col("rest")).alias("need"))
     held = seen.join(common, "h", "left_semi").select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
     met = probe.join(held, "h").where("old or at_b < at_a or (at_b = at_a and b < a)")
-    return met.groupBy("a", "b").agg(F.sum("size").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    pairs = met.groupBy("a", "b").agg(F.sum("size").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    both = pairs.join(parts.select(F.col("id").alias("a"), "total", F.col("parts").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("parts").alias("pb")), "b")
+    shared = F.aggregate(F.array_intersect("pa", "pb"), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(4095)))
+    return both.where(shared >= cover * F.col("total")).select("a", "b")
 
 
 def accept_in_order(links: DataFrame) -> DataFrame:
@@ -118,12 +122,14 @@ def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: floa
     copies = materialize(copies.select("id", "rep"), "copies")
     new = paragraphs(rows.join(copies.where("id = rep").select("id"), "id", "left_semi")).withColumn("old", F.lit(False))
     new = materialize(new, "paragraphs")
-    seen, texts = new, batch.select("id", "text")
+    seen, texts, parts = new, batch.select("id", "text"), rows.select("id", "total", "parts")
     if history is not None:
         met = history.paragraphs().join(new.select("h").distinct(), "h", "left_semi")
-        seen = new.unionByName(materialize(met.withColumn("old", F.lit(True)), "met"))
+        met = materialize(met.withColumn("old", F.lit(True)), "met")
+        seen = new.unionByName(met)
+        parts = parts.unionByName(met.groupBy("id").agg(F.first("total").alias("total"), F.collect_list("h").alias("parts")))
         texts = texts.unionByName(history.texts())
-    pairs = materialize(_covered(new, seen, cover), "covered")
+    pairs = materialize(_covered(new, seen, parts, cover), "covered")
     links = materialize(verified_pairs(pairs, texts, minimum, width).select(F.col("b").alias("early"), F.col("a").alias("late")), "links")
     cases = accept_in_order(links)
     found = copies.join(cases.withColumnRenamed("id", "rep"), "rep", "left_semi").select("id")

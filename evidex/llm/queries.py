@@ -116,8 +116,27 @@ def queries() -> dict:
     return {q.__name__: q for q in (p1_found, p2_found, p2_texts, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
 
 
+#: All similar pairs by brute force over the substrings of 20 characters.
+_PAIRS = """n as (select record_id, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) as t from doc_records where length(trim(content)) >= 40),
+ u as (select t, min(record_id) as rep from n group by t),
+ g as (select rep, unnest(list_distinct(list_transform(range(1, greatest(length(t) - 19, 1) + 1), lambda i: substr(t, i, 20)))) as g from u),
+ k as (select rep, count(*) as k from g group by rep),
+ s as (select a.rep as a, b.rep as b, count(*) as i from g a join g b on a.g = b.g and a.rep < b.rep group by 1, 2),
+ p as (select a, b from s join k x on x.rep = a join k y on y.rep = b where i >= 0.6 * (x.k + y.k - i) union all select rep, rep from u),
+ m as (select record_id, rep from n join u using (t)),
+ f as (select least(x.record_id, y.record_id) as record_a, greatest(x.record_id, y.record_id) as record_b from p join m x on x.rep = p.a join m y on y.rep = p.b where p.a <> p.b or x.record_id < y.record_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with {_PAIRS} select record_a, record_b from f",
+        "p5_found": f"""with recursive {_PAIRS},
+ o as (select record_id, row_number() over (order by ingested_at, record_id) as i from doc_records where ingested_at is not null and record_id in (select record_a from f union select record_b from f)),
+ e as (select least(x.i, y.i) as early, greatest(x.i, y.i) as late from f join o x on x.record_id = record_a join o y on y.record_id = record_b),
+ r(i, accepted, cases) as (select 0::bigint, []::bigint[], []::bigint[] union all
+   select i + 1, case when hit then accepted else list_append(accepted, i + 1) end, case when hit then list_append(cases, i + 1) else cases end
+   from (select *, exists (select 1 from e where late = r.i + 1 and list_contains(r.accepted, early)) as hit from r where i < (select max(i) from o)))
+ select record_id from o where list_contains((select cases from r order by i desc limit 1), i)""",
         "p6_found": """
             select distinct 'record' as item_kind, cast(record_id as varchar) as item_id from doc_records
             where floor(length(content) / 4) > 2000 and length(trim(content)) >= 40
