@@ -22,7 +22,9 @@ from pyspark.sql.window import Window as W
 
 from evidex.runtime import materialize
 
-FACTOR = 0.08
+FACTOR = 0.12
+#: The upper tree's own factor, at most: each further shard that a query visits is another copy of it.
+UPPER = 0.08
 #: Vectors the upper tree is fitted on, at most.
 SAMPLE = 16_384
 LEAF = 64
@@ -208,7 +210,8 @@ def nearest(df: DataFrame, k: int = 10, minimum: float = 0.0, factor: float = FA
 
     Vectors that are null, zero, not finite or of another length take no part; of an id upserted
     again the latest row counts. Ties in cosine go by id. The search radius starts at ``minimum``:
-    the higher it is, the more is pruned. Only the upper tree is fitted on a sample (of at most
+    the higher it is, the more is pruned. A ``factor`` above the default holds for the upper tree too,
+    so that one is exact. Only the upper tree is fitted on a sample (of at most
     ``sample`` vectors, spread over all by their hash); every vector is indexed and searched. Other
     columns are not read; an empty table gives no rows.
     """
@@ -234,7 +237,7 @@ def nearest(df: DataFrame, k: int = 10, minimum: float = 0.0, factor: float = FA
     points = _matrix(drawn.toArrow().column("vec"), np.float32, dims)
     depth = shards.bit_length() - 1
     upper = _numbered(build(points, np.arange(len(points)), 1, depth) if len(points) else np.arange(0), [0])
-    reach = factor * float(np.sqrt(2 - 2 * minimum)) + 1e-6
+    reach = (factor if factor > FACTOR else min(factor, UPPER)) * float(np.sqrt(2 - 2 * minimum)) + 1e-6
 
     routed = reps.mapInArrow(_route(upper, reach, dims), "shard int, id string, vec binary")
     found = routed.groupBy("shard").applyInArrow(_search_shard(k, minimum, factor, dims), "q string, x string, cosine double")
