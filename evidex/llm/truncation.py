@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.runtime import materialize
+from evidex.runtime import materialize, parallel
 
 #: Short forms whose full stop ends no sentence; fixed values.
 SHORT = "Dr Prof Sra Sr Dra Mme Pr Abb Tab Fig Vgl env aprox Approx al vs bzw ca z med No sect fig cf M д-р Проф рис см ок डॉ ग्रा د".split()
@@ -115,7 +115,7 @@ def truncated(documents: DataFrame) -> DataFrame:
         found = spark.sql(query, args=used, **views)
         return materialize(found, name) if write else found
 
-    rows = documents.select("doc_id", "source", "text")
+    rows = parallel(documents.select("doc_id", "source", "text"))
     bodies = sql(_BODIES, "bodies", documents=rows)
     ends = sql(_ENDS, "ends", bodies=bodies)
     openers = sql(_OPENERS, "openers", bodies=bodies)
