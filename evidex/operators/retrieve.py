@@ -16,6 +16,7 @@ from evidex.functions import lexicons as L
 from evidex.functions.classify import evidence_boost, recency_boost
 from evidex.functions.text import bucket, clinical_tokens, idf
 from evidex.functions.vectors import cosine
+from evidex.runtime import parallel
 
 #: Queries held by a task at once; more are searched in several passes over the index.
 QUERY_BLOCK = 4096
@@ -92,7 +93,7 @@ def sparse_vectors(df: DataFrame, key: str, text: str, buckets: int = L.BUCKETS)
 
     Weights of terms up to 0.001 are left out; texts without terms have no postings.
     """
-    tokens = df.select(key, clinical_tokens(F.col(text)).alias("t"))
+    tokens = parallel(df.select(key, text)).select(key, clinical_tokens(F.col(text)).alias("t"))
     terms = tokens.select(key, F.size("t").alias("total"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
     weighted = terms.withColumn("weight", F.col("n") / F.col("total") * idf(F.col("term"))).where("weight > 0.001")
     return weighted.groupBy(key, bucket(F.col("term"), buckets).alias("idx")).agg(F.sum("weight").alias("weight"))

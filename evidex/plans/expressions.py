@@ -11,7 +11,7 @@ from evidex.operators.merge import latest
 from evidex.operators.retrieve import conditions
 from evidex.operators.validate import clean_lines, validate_chunks, validate_documents
 from evidex.plans import sql as S
-from evidex.runtime import table
+from evidex.runtime import parallel, table
 
 _CHUNKS = "(select distinct on (chunk_id) chunk_id, doc_id, chunk_type, section_title, text, contextual_text, token_estimate, chunk_index, total_chunks from chunks)"
 
@@ -23,7 +23,7 @@ def chunks(spark, d):
 
 def documents(spark, d):
     """Records with their lower-case plain text: title and content."""
-    rows = table(spark, d, "doc_records")
+    rows = parallel(table(spark, d, "doc_records"))
     return rows.withColumn("t", F.lower(F.concat(text.plain(F.col("title")), F.lit(" "), text.plain(F.col("content")))))
 
 

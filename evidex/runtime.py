@@ -67,6 +67,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def parallel(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread a scan of few files over the cores where the scan alone gives fewer tasks."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // per_core else df
+    """Spread a scan over the cores where it has fewer tasks than there are cores, as with one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
