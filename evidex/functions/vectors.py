@@ -18,6 +18,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column) -> Column:
+    """The vector as doubles, scaled to length one; a zero vector as it is."""
+    # a list of one binds the norm, which would else be taken for each element
+    return F.transform(F.array(norm(a)), lambda n: F.transform(_doubles(a), lambda x: F.when(n == 0, x).otherwise(x / n)))[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Zero where a norm is zero."""
     n = norm(a) * norm(b)

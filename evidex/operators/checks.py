@@ -42,11 +42,10 @@ def warnings(text: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*found), lambda w: w.isNotNull()))
 
 
-def safety(text: Column) -> dict[str, Column]:
-    found = warnings(text)
+def safety(found: Column) -> dict[str, Column]:
+    """What follows from the warnings() of an answer; give them as a column, so that they are found once."""
     has = lambda test: F.exists(found, test)
     return {
-        "warnings": found,
         "is_safe": ~has(lambda w: w["severity"] == "HIGH"),
         "needs_disclaimer": has(lambda w: w["type"].isin("TREATMENT_RECOMMENDATION", "DOSAGE_INFO")),
     }
@@ -64,11 +63,11 @@ def named(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: ends(w) | (w.rlike("^[A-Z]") & (F.length(w) > 4))), F.lower))
 
 
-def ungrounded(sentence: Column, evidence: Column) -> dict[str, Column]:
-    """Names and numbers of a sentence that its evidence lacks; both plain text."""
+def ungrounded(sentence: Column, known_names: Column, known_numbers: Column) -> dict[str, Column]:
+    """Names and numbers of a sentence, plain text, that its evidence lacks; named() and numbers() of that are taken once."""
     return {
-        "names": F.array_sort(F.array_except(named(sentence), named(evidence))),
-        "numbers": F.array_sort(F.array_except(numbers(F.lower(sentence)), numbers(F.lower(evidence)))),
+        "names": F.array_sort(F.array_except(named(sentence), known_names)),
+        "numbers": F.array_sort(F.array_except(numbers(F.lower(sentence)), known_numbers)),
     }
 
 

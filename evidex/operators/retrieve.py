@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from evidex.functions import lexicons as L
 from evidex.functions.classify import evidence_boost, recency_boost
 from evidex.functions.text import bucket, clinical_tokens, idf
-from evidex.functions.vectors import cosine
+from evidex.functions.vectors import dot, unit
 from evidex.runtime import parallel
 
 #: Queries held by a task at once; more are searched in several passes over the index.
@@ -141,19 +141,23 @@ def mmr(hits: DataFrame, select: int = L.MMR_TOP, weight: float = L.MMR_LAMBDA)
     to those chosen; ties go to the higher score, then the lower id. A query's hits are a short list
     (the result of a top-k), folded within one row; with at most ``select`` hits all are kept in order.
     """
-    item = F.struct((-F.col("score")).alias("neg"), "id", "score", "vector")
+    item = F.struct((-F.col("score")).alias("neg"), "id", unit(F.col("vector")).alias("v"))
     lists = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    start = F.struct(F.array(F.col("c")[0]).alias("chosen"), F.slice(F.col("c"), F.lit(2), F.size("c")).alias("rest"))
+    kept = lambda x, near: F.struct(x["neg"].alias("neg"), x["id"].alias("id"), x["v"].alias("v"), near.alias("near"))
+    first = F.col("c")[0]
+    rest = F.transform(F.slice(F.col("c"), F.lit(2), F.size("c")), lambda x: kept(x, dot(x["v"], first["v"])))
+    start = F.struct(F.array(first["id"]).alias("chosen"), rest.alias("rest"))
 
     def step(s, _):
-        gain = lambda x: weight * x["score"] - (1 - weight) * F.array_max(F.transform(s["chosen"], lambda y: cosine(x["vector"], y["vector"])))
-        best = F.array_min(F.transform(s["rest"], lambda x: F.struct((-gain(x)).alias("loss"), x["neg"].alias("neg"), x["id"].alias("id"))))
-        taken = F.filter(s["rest"], lambda x: x["id"] == best["id"])
-        rest = F.filter(s["rest"], lambda x: x["id"] != best["id"])
-        return F.when(F.size(s["rest"]) == 0, s).otherwise(F.struct(F.concat(s["chosen"], taken).alias("chosen"), rest.alias("rest")))
-
-    greedy = F.aggregate(F.sequence(F.lit(2), F.lit(select)), start, step, lambda s: F.transform(s["chosen"], lambda x: x["id"]))
-    ids = F.when(F.size("c") <= select, F.transform("c", lambda x: x["id"])).otherwise(greedy) if select > 1 else F.array(F.col("c")[0]["id"])
+        # each of the rest carries its greatest cosine to those chosen, so that a step compares it with the last alone
+        loss = lambda x: -(weight * -x["neg"] - (1 - weight) * x["near"])
+        best = F.array_min(F.transform(s["rest"], lambda x: F.struct(loss(x).alias("loss"), x["neg"].alias("neg"), x["id"].alias("id"), x["v"].alias("v"))))
+        left = F.filter(s["rest"], lambda x: x["id"] != best["id"])
+        left = F.transform(left, lambda x: kept(x, F.greatest(x["near"], dot(x["v"], best["v"]))))
+        return F.when(F.size(s["rest"]) == 0, s).otherwise(F.struct(F.array_append(s["chosen"], best["id"]).alias("chosen"), left.alias("rest")))
+
+    greedy = F.aggregate(F.sequence(F.lit(2), F.lit(select)), start, step, lambda s: s["chosen"])
+    ids = F.when(F.size("c") <= select, F.transform("c", lambda x: x["id"])).otherwise(greedy) if select > 1 else F.array(first["id"])
     return lists.select("query_id", F.posexplode(ids).alias("pos", "id"))
 
 

@@ -113,16 +113,17 @@ def max_sim_grounding(spark, d):
 
 
 def _answers(spark, d):
-    """Sentences of chunks with the plain content of their document."""
+    """Sentences of chunks with the names and numbers of their document."""
     docs = table(spark, d, "doc_records").groupBy("doc_id").agg(F.max_by("content", "record_id").alias("content"))
-    rows = chunks(spark, d).where("text is not null").join(docs, "doc_id").select("chunk_id", text.plain(F.col("content")).alias("content"), text.answer_sentences(text.plain(F.col("text"))).alias("s"))
-    return rows.select("chunk_id", "content", F.posexplode("s").alias("pos", "sentence"))
+    docs = docs.withColumn("content", text.plain(F.col("content"))).select("doc_id", checks.named(F.col("content")).alias("en"), checks.numbers(F.lower("content")).alias("ek"))
+    rows = chunks(spark, d).where("text is not null").join(docs, "doc_id").select("chunk_id", "en", "ek", text.answer_sentences(text.plain(F.col("text"))).alias("s"))
+    return rows.select("chunk_id", "en", "ek", F.posexplode("s").alias("pos", "sentence"))
 
 
 def ungrounded_terms(spark, d):
     """Names and numbers in the sentences of chunks that the newest record of the document lacks."""
     rows = _answers(spark, d)
-    found = checks.ungrounded(F.col("sentence"), F.col("content"))
+    found = checks.ungrounded(F.col("sentence"), F.col("en"), F.col("ek"))
     rows = rows.select("chunk_id", F.col("pos").cast("bigint").alias("pos"), F.array_join(found["names"], "|").alias("names"), F.array_join(found["numbers"], "|").alias("numbers"))
     return rows.where("names <> '' or numbers <> ''")
 
@@ -152,16 +153,17 @@ _GROUND = f"""with a as ({_answers_sql()}), e as (select content, {_named('conte
 def grounding_score(spark, d):
     """Doubt of each chunk by the weights of its sentences, the lexical part."""
     rows = _answers(spark, d)
-    found = checks.ungrounded(F.col("sentence"), F.col("content"))
+    found = checks.ungrounded(F.col("sentence"), F.col("en"), F.col("ek"))
     weighed = rows.select("chunk_id", checks.flag_weight(F.col("sentence"), found["names"], found["numbers"]).alias("w"))
     return weighed.groupBy("chunk_id").agg(F.count("*").alias("sentences"), F.round(F.least(F.lit(1.0), F.sum("w") / F.count("*")), 6).alias("risk"))
 
 
 def safety_check(spark, d):
     """Warnings in chunks, and what follows from them."""
-    found = checks.safety(F.lower(text.plain(F.col("text"))))
-    joined = F.array_join(F.array_sort(F.transform(found["warnings"], lambda w: F.concat_ws(":", w["type"], w["severity"], w["message"]))), "|")
-    return chunks(spark, d).select("chunk_id", joined.alias("warnings"), found["is_safe"].alias("is_safe"), found["needs_disclaimer"].alias("needs_disclaimer"))
+    rows = chunks(spark, d).select("chunk_id", F.lower(text.plain(F.col("text"))).alias("l")).select("chunk_id", checks.warnings(F.col("l")).alias("w"))
+    found = checks.safety(F.col("w"))
+    joined = F.array_join(F.array_sort(F.transform("w", lambda w: F.concat_ws(":", w["type"], w["severity"], w["message"]))), "|")
+    return rows.select("chunk_id", joined.alias("warnings"), found["is_safe"].alias("is_safe"), found["needs_disclaimer"].alias("needs_disclaimer"))
 
 
 def _safety_sql() -> str:
@@ -227,13 +229,13 @@ def answer_quality(spark, d):
 
 
 def _graded(spark, d):
-    rows = _context(spark, d)
+    rows = _context(spark, d).withColumn("w", checks.warnings(F.col("t")))
     level = F.coalesce("evidence_level", F.lit(3))
-    warned = checks.safety(F.col("t"))
+    warned = checks.safety(F.col("w"))
     return rows.groupBy("query_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("content").isNotNull()).alias("valid"), F.avg(level).alias("average"), F.count_if(level == 1).alias("first"),
         F.avg(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("quality"), F.countDistinct("source_type").alias("sources"), F.var_pop("score").alias("variance"),
-        F.sum(F.size(warned["warnings"])).alias("warnings"), F.bool_or(~warned["is_safe"]).alias("high"), F.bool_or(warned["needs_disclaimer"]).alias("disclaimer"),
+        F.sum(F.size("w")).alias("warnings"), F.bool_or(~warned["is_safe"]).alias("high"), F.bool_or(warned["needs_disclaimer"]).alias("disclaimer"),
     )
 
 
