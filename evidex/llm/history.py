@@ -30,6 +30,8 @@ from evidex.runtime import materialize
 
 COVER = 0.25
 LEAST = 40
+#: A paragraph that more records than these probe is hot: its first holder is compared with all of them first.
+HOT = 256
 _CUT = re.compile(r"\n+|(?<=[.!?।؟])\s+|(?<=[。！？])|(?<=[฀-๿]) +(?=[฀-๿])")
 _HASHED = "id bigint, at timestamp_ntz, digest binary, total bigint, parts array<bigint>"
 
@@ -69,26 +71,53 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return rows.select("id", "at", "total", F.explode("parts").alias("h")).withColumn("size", F.col("h").bitwiseAND(F.lit(4095)))
 
 
-def _covered(new: DataFrame, seen: DataFrame, parts: DataFrame, cover: float) -> DataFrame:
-    """(a, b): new records a, and earlier ones b that share ``cover`` of the length of a's paragraphs.
+_EARLIER = "old or at_b < at_a or (at_b = at_a and b < a)"
 
-    What a shares with b beyond its probes is at most ``rest``, the length of the paragraphs it left
-    out; pairs that may reach the share are then measured over all ``parts`` (id, total, parts) of both.
+
+def _probes(new: DataFrame, common: DataFrame, cover: float) -> DataFrame:
+    """(a, at_a, h, size, need): the rarest paragraphs of each new record that others hold too.
+
+    Left out are the most common ones while they are together shorter than the share asked; what
+    a shares with another beyond its probes is at most their length, so that ``need`` must come from probes.
     """
-    common = materialize(seen.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
     falling = W.partitionBy("id").orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0)
     need = cover * F.col("total")
     probe = new.join(common, "h").withColumn("upto", F.sum("size").over(falling)).withColumn("left_out", F.when(F.col("upto") < need, F.col("size")).otherwise(0))
     probe = probe.withColumn("rest", F.sum("left_out").over(W.partitionBy("id"))).where(F.col("upto") >= need)
-    probe = probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), "h", "size", (need - F.col("rest")).alias("need"))
-    held = seen.join(common, "h", "left_semi").select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
-    met = probe.join(held, "h").where("old or at_b < at_a or (at_b = at_a and b < a)")
-    pairs = met.groupBy("a", "b").agg(F.sum("size").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    return probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), "h", "size", (need - F.col("rest")).alias("need"))
+
+
+def _measured(pairs: DataFrame, parts: DataFrame, cover: float) -> DataFrame:
+    """(a, b) of ``pairs`` that share ``cover`` of the length of a's paragraphs, over all ``parts`` (id, total, parts) of both."""
     both = pairs.join(parts.select(F.col("id").alias("a"), "total", F.col("parts").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("parts").alias("pb")), "b")
     shared = F.aggregate(F.array_intersect("pa", "pb"), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(4095)))
     return both.where(shared >= cover * F.col("total")).select("a", "b")
 
 
+def _covered(probe: DataFrame, held: DataFrame, parts: DataFrame, cover: float) -> DataFrame:
+    """(a, b): new records a, and earlier ones b that share enough of a's paragraphs to be compared."""
+    met = probe.join(held, "h").where(_EARLIER)
+    pairs = met.groupBy("a", "b").agg(F.sum("size").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    return _measured(pairs, parts, cover)
+
+
+def _settled(probe: DataFrame, held: DataFrame, parts: DataFrame, hot: DataFrame, cover: float, check) -> DataFrame:
+    """(id) of the records that repeat the first holder of a hot paragraph, where that is surely accepted.
+
+    One comparison a record and hot paragraph instead of one with every earlier holder: a large group
+    of near-copies is settled by its first member. A first holder is surely accepted if it is of
+    history or similar to no earlier record at all. Repeats are never accepted, so that the rest
+    need not be compared with them.
+    """
+    first = held.join(hot, "h").groupBy("h").agg(F.min(F.struct((~F.col("old")).alias("late"), "at_b", "b")).alias("f"))
+    first = materialize(first.select("h", F.col("f.b").alias("b"), F.col("f.at_b").alias("at_b"), (~F.col("f.late")).alias("old")), "first")
+    own = probe.join(first.where("not old").select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    late = check(_covered(own, held, parts, cover)).select(F.col("a").alias("b"))
+    roots = first.where("old").unionByName(first.where("not old").join(late, "b", "left_anti").select(first.columns))
+    star = probe.join(roots, "h").where(_EARLIER).select("a", "b").distinct()
+    return materialize(check(_measured(star, parts, cover)).select(F.col("a").alias("id")).distinct(), "settled")
+
+
 def accept_in_order(links: DataFrame) -> DataFrame:
     """(id) of the records that are similar to an accepted earlier one; ``links`` (early, late) has every similar pair.
 
@@ -129,9 +158,22 @@ def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: floa
         seen = new.unionByName(met)
         parts = parts.unionByName(met.groupBy("id").agg(F.first("total").alias("total"), F.collect_list("h").alias("parts")))
         texts = texts.unionByName(history.texts())
-    pairs = materialize(_covered(new, seen, parts, cover), "covered")
-    links = materialize(verified_pairs(pairs, texts, minimum, width).select(F.col("b").alias("early"), F.col("a").alias("late")), "links")
+    common = materialize(seen.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    probe = materialize(_probes(new, common, cover), "probes")
+    held = seen.join(common, "h", "left_semi").select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified_pairs(materialize(pairs, "covered"), texts, minimum, width)
+
+    hot = materialize(probe.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
+    settled = None
+    if not hot.isEmpty():
+        settled = _settled(probe, held, parts, hot, cover, check)
+        probe = probe.join(settled.withColumnRenamed("id", "a"), "a", "left_anti")
+        held = held.join(settled.withColumnRenamed("id", "b"), "b", "left_anti")
+    links = materialize(check(_covered(probe, held, parts, cover)).select(F.col("b").alias("early"), F.col("a").alias("late")), "links")
     cases = accept_in_order(links)
+    cases = cases if settled is None else cases.unionByName(settled)
     found = copies.join(cases.withColumnRenamed("id", "rep"), "rep", "left_semi").select("id")
     found = found.unionByName(copies.where("id <> rep").select("id")).distinct()
     return found if history is None else found.unionByName(known)

@@ -81,3 +81,20 @@ def test_replay_and_daily_batches_agree_with_brute_force(spark, tmp_path):
         got += [r.id for r in index.take(batch).collect()]
     assert sorted(got) == sorted(want)
     assert index.take(batch).count() == len([i for i in _sets(rows) if times[i] and times[i].day == 3])
+
+
+def test_a_hot_group_of_near_copies_is_settled_by_its_first_member(spark, monkeypatch):
+    from evidex.llm import history
+
+    rows, rnd = _texts(), random.Random(6)
+    base = [" ".join(rnd.choices(WORDS, k=12)) + "." for _ in range(10)]
+    for i in range(60):  # near-copies of one text, all different
+        own = list(base)
+        own[rnd.randrange(10)] = " ".join(rnd.choices(WORDS, k=8)) + f" {i}."
+        rows[2000 + i] = " ".join(own)
+    times = {i: dt.datetime(2024, 1, 1, rnd.randrange(24)) for i in rows}
+    df = spark.createDataFrame([(i, times[i], t) for i, t in rows.items()], "id long, at timestamp_ntz, text string")
+    want = sorted(_replay(rows, times))
+    for hot in (5, 10**6):
+        monkeypatch.setattr(history, "HOT", hot)
+        assert sorted(r.id for r in repeats(df).collect()) == want
