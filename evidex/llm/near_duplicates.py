@@ -25,6 +25,8 @@ REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 EMPTY = np.uint16(65535)
+#: Contents of fewer characters, but for the blanks around them, are never a case.
+LEAST = 40
 #: Chance of equal registers of different sets: 0.1699 * 2^-mantissa * 4x/(1+x)^2 for sizes in ratio x.
 CHANCE = 0.169919487159739 / 2**MANTISSA
 
@@ -93,7 +95,7 @@ def _sketch(width: int, least: int, chars: int = 1_000_000):
     return run
 
 
-def sketches(df: DataFrame, width: int = WIDTH, least: int = 40) -> DataFrame:
+def sketches(df: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(id, digest, size, filled, regs) of ``df`` (id, text); null and short texts give no row."""
     kind = df.schema["id"].dataType.simpleString()
     return (
@@ -129,7 +131,7 @@ def candidate_pairs(reps: DataFrame, minimum: float) -> DataFrame:
     )
 
 
-def near_duplicates(df: DataFrame, minimum: float = 0.6, width: int = WIDTH, least: int = 40) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, minimum: float = 0.6, width: int = WIDTH, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among ``df`` (id, text): (pairs, members).
 
     ``pairs`` (a, b, similarity): representatives a < b of different texts with similarity of at
@@ -159,3 +161,36 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     all_ = both.join(left, "a").join(right, "b").where("a <> b or x < y")
     return all_.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, root) of every id in ``pairs`` (a, b): root is the least id that links lead to.
+
+    Each round takes the least label among neighbours, then that label's own label, so that chains
+    shorten by half; partial minima are taken before the shuffle. Ends when no label changes.
+    """
+    pairs = pairs.select("a", "b")
+    edges = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
+    labels = materialize(labels, "labels")
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("b"), "root"), "b").select(F.col("a").alias("id"), "root").unionByName(labels)
+        near = near.groupBy("id").agg(F.min("root").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        after = materialize(near.join(up, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root")), "labels")
+        changed = not after.join(labels.withColumnRenamed("root", "was"), "id").where("root <> was").isEmpty()
+        labels = after
+        if not changed:
+            return labels
+
+
+def near_duplicate_groups(df: DataFrame, minimum: float = 0.6, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """(id, group, links): every record of near_duplicates' members, its group's least id, and how many different texts its own is linked to.
+
+    A text without copies or links is a group of its own; null, empty and short texts have no row.
+    """
+    pairs, members = near_duplicates(df, minimum, width, least)
+    pairs = materialize(pairs, "pairs")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    rows = members.join(components(pairs).withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
+    return rows.select("id", F.coalesce("root", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

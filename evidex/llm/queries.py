@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex.llm.bpe import encode_corpus
 from evidex.llm.history import repeats
 from evidex.llm.mixing import mix
-from evidex.llm.near_duplicates import expand_pairs, near_duplicates
+from evidex.llm.near_duplicates import expand_pairs, near_duplicate_groups, near_duplicates
 from evidex.llm.neighbours import nearest
 from evidex.llm.scanned import findings, repaired
 from evidex.llm.sentences import sentence_ends
@@ -33,6 +33,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(batches).select(F.col("id").alias("record_id"))
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every record, and how many different texts its own is linked to."""
+    found = near_duplicate_groups(_contents(spark, folder), minimum=0.6)
+    return found.select(F.col("id").alias("record_id"), F.col("group").alias("group_id"), "links")
+
+
 def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = table(spark, folder, "doc_records")
     return records.where("parser_version = 'v2'"), records.where("parser_version is distinct from 'v2'")
@@ -113,7 +119,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p2_found, p2_texts, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
+    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
 
 
 #: All similar pairs by brute force over the substrings of 20 characters.
@@ -130,6 +136,10 @@ _PAIRS = """n as (select record_id, trim(regexp_replace(lower(content), '\\s+',
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_PAIRS} select record_a, record_b from f",
+        "p1_groups": f"""with recursive {_PAIRS},
+ d as (select a, b from p where a <> b union select b, a from p where a <> b),
+ c(a, b) as (select a, b from d union select c.a, d.b from c join d on c.b = d.a)
+ select m.record_id, least(m.rep, coalesce((select min(b) from c where c.a = m.rep), m.rep)) as group_id, (select count(*) from d where d.a = m.rep) as links from m""",
         "p5_found": f"""with recursive {_PAIRS},
  o as (select record_id, row_number() over (order by ingested_at, record_id) as i from doc_records where ingested_at is not null and record_id in (select record_a from f union select record_b from f)),
  e as (select least(x.i, y.i) as early, greatest(x.i, y.i) as late from f join o x on x.record_id = record_a join o y on y.record_id = record_b),

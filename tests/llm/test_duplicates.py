@@ -4,7 +4,7 @@ import random
 import pytest
 
 from evidex.llm.history import HistoryIndex, repeats
-from evidex.llm.near_duplicates import expand_pairs, near_duplicates, registers
+from evidex.llm.near_duplicates import components, expand_pairs, near_duplicate_groups, near_duplicates, registers
 from evidex.llm.similarity import jaccard, normalise, shingles
 
 WORDS = [f"word{i}x{i * 7919 % 97}" for i in range(400)]
@@ -98,3 +98,18 @@ def test_a_hot_group_of_near_copies_is_settled_by_its_first_member(spark, monkey
     for hot in (5, 10**6):
         monkeypatch.setattr(history, "HOT", hot)
         assert sorted(r.id for r in repeats(df).collect()) == want
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rnd = random.Random(2)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (200, 202)]
+    rnd.shuffle(pairs)
+    got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_cover_every_record(spark):
+    rows = _texts()
+    got = {r.id: (r.group, r.links) for r in near_duplicate_groups(spark.createDataFrame([(i, t) for i, t in rows.items()], "id long, text string")).collect()}
+    assert set(got) == set(_sets(rows)) and got[900] == got[1] and got[905][0] == got[906][0] == 905
