@@ -116,7 +116,7 @@ def _answers(spark, d):
     """Sentences of chunks with the names and numbers of their document."""
     docs = table(spark, d, "doc_records").groupBy("doc_id").agg(F.max_by("content", "record_id").alias("content"))
     docs = docs.withColumn("content", text.plain(F.col("content"))).select("doc_id", checks.named(F.col("content")).alias("en"), checks.numbers(F.lower("content")).alias("ek"))
-    rows = chunks(spark, d).where("text is not null").join(docs, "doc_id").select("chunk_id", "en", "ek", text.answer_sentences(text.plain(F.col("text"))).alias("s"))
+    rows = chunks(spark, d, "doc_id", "text").where("text is not null").join(docs, "doc_id").select("chunk_id", "en", "ek", text.answer_sentences(text.plain(F.col("text"))).alias("s"))
     return rows.select("chunk_id", "en", "ek", F.posexplode("s").alias("pos", "sentence"))
 
 
@@ -160,7 +160,7 @@ def grounding_score(spark, d):
 
 def safety_check(spark, d):
     """Warnings in chunks, and what follows from them."""
-    rows = chunks(spark, d).select("chunk_id", F.lower(text.plain(F.col("text"))).alias("l")).select("chunk_id", checks.warnings(F.col("l")).alias("w"))
+    rows = chunks(spark, d, "text").select("chunk_id", F.lower(text.plain(F.col("text"))).alias("l")).select("chunk_id", checks.warnings(F.col("l")).alias("w"))
     found = checks.safety(F.col("w"))
     joined = F.array_join(F.array_sort(F.transform("w", lambda w: F.concat_ws(":", w["type"], w["severity"], w["message"]))), "|")
     return rows.select("chunk_id", joined.alias("warnings"), found["is_safe"].alias("is_safe"), found["needs_disclaimer"].alias("needs_disclaimer"))
@@ -275,7 +275,7 @@ def storage_stats(spark, d):
     """What is stored per source and in all."""
     points = table(spark, d, "vector_points").groupBy("point_id").agg(F.first(F.col("payload")["source_type"]).alias("source_type"))
     docs = table(spark, d, "doc_records").select("source_type")
-    meta = chunks(spark, d).select(F.col("metadata")["source"].alias("source_type"))
+    meta = chunks(spark, d, "metadata").select(F.col("metadata")["source"].alias("source_type"))
     return monitoring.storage_stats(docs, meta, points)
 
 

@@ -16,9 +16,9 @@ from evidex.runtime import parallel, table
 _CHUNKS = "(select distinct on (chunk_id) chunk_id, doc_id, chunk_type, section_title, text, contextual_text, token_estimate, chunk_index, total_chunks from chunks)"
 
 
-def chunks(spark, d):
-    """Chunks once each; a replayed row equals the first."""
-    return latest(table(spark, d, "chunks"), "chunk_id")
+def chunks(spark, d, *columns):
+    """Chunks once each, of their columns those asked for alone; a replayed row equals the first."""
+    return latest(table(spark, d, "chunks").select("chunk_id", *columns), "chunk_id")
 
 
 def documents(spark, d):
@@ -32,7 +32,7 @@ _DOCS = f"(select *, lower({S.plain('title')} || ' ' || {S.plain('content')}) as
 
 def token_estimates(spark, d):
     """Two estimates of a chunk's tokens."""
-    return chunks(spark, d).select("chunk_id", text.length_tokens(F.col("text")).cast("bigint").alias("by_length"), text.word_tokens(F.col("text")).cast("bigint").alias("by_words"))
+    return chunks(spark, d, "text").select("chunk_id", text.length_tokens(F.col("text")).cast("bigint").alias("by_length"), text.word_tokens(F.col("text")).cast("bigint").alias("by_words"))
 
 
 def content_hash(spark, d):
@@ -54,9 +54,8 @@ def garble_score(spark, d):
 
 
 def filter_conj(spark, d):
-    """Conjunction of conditions on records."""
-    rows = table(spark, d, "doc_records").select("record_id", "source_type", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("evidence_level", F.lit(5)).alias("evidence_level"))
-    return rows.where(conditions([("year", "gte", 2010), ("source_type", "in", ["pubmed", "who", "icmr"]), ("evidence_level", "lt", 4)])).select("record_id", "source_type")
+    """Conjunction of conditions on records, on bare columns so that all reach the scan; null fails as the defaults 0 and 5 would."""
+    return table(spark, d, "doc_records").where(conditions([("year", "gte", 2010), ("source_type", "in", ["pubmed", "who", "icmr"]), ("evidence_level", "lt", 4)])).select("record_id", "source_type")
 
 
 def boosts(spark, d):
@@ -98,7 +97,7 @@ def content_type(spark, d):
     """Content type of chunks, by section and text."""
     lower = F.lower(text.plain(F.col("text")))
     kind = C.content_type(lower, F.col("section_title"))
-    return chunks(spark, d).select("chunk_id", kind.alias("content_type"), C.content_weight(kind).cast("double").alias("weight"))
+    return chunks(spark, d, "text", "section_title").select("chunk_id", kind.alias("content_type"), C.content_weight(kind).cast("double").alias("weight"))
 
 
 _CONTENT = f"""case when {S.hits('l', L.NOISE_SIGNS)} >= 2 then 'noise' when {S.any_of('s', L.SECTION_NOISE)} then 'noise' when {S.any_of('s', L.SECTION_BACKGROUND)} then 'background'
@@ -145,7 +144,7 @@ def quality_score(spark, d):
 
 
 def _scored(spark, d):
-    rows = chunks(spark, d).withColumn("l", F.lower(text.plain(F.col("text"))))
+    rows = chunks(spark, d, "text", "section_title").withColumn("l", F.lower(text.plain(F.col("text"))))
     found = C.entities(F.col("l"))
     rows = rows.withColumn("content_type", C.content_type(F.col("l"), F.col("section_title"))).withColumn("entities", F.size(found["diseases"]) + F.size(found["drugs"]) + F.size(found["dosages"]))
     tokens = F.greatest(F.lit(1), text.word_count(F.col("l")))
@@ -187,12 +186,12 @@ _JUDGED = f"(select *, {_DOC_REASON} as reason from (select *, {S.strip(S.or_emp
 
 
 def validate_chunks_q(spark, d):
-    return validate_chunks(chunks(spark, d)).select("chunk_id", "ok", "reason")
+    return validate_chunks(chunks(spark, d, "text")).select("chunk_id", "ok", "reason")
 
 
 def rejected_chunks(spark, d):
     """Chunks that fail a rule, and why."""
-    return validate_chunks(chunks(spark, d)).where(~F.col("ok")).select("chunk_id", "reason")
+    return validate_chunks(chunks(spark, d, "text")).where(~F.col("ok")).select("chunk_id", "reason")
 
 
 def clean_lines_q(spark, d):
@@ -213,7 +212,7 @@ def contextual_text(spark, d):
     from evidex.operators.chunking import contextual_text as built
 
     docs = documents(spark, d).groupBy("doc_id").agg(F.max_by(F.struct("source_type", "title", C.doc_type(F.col("t")).alias("kind")), "record_id").alias("r"))
-    rows = chunks(spark, d).join(docs, "doc_id")
+    rows = chunks(spark, d, "doc_id", "section_title", "text").join(docs, "doc_id")
     return rows.select("chunk_id", F.md5(built(F.col("r.source_type"), F.col("r.kind"), F.col("r.title"), F.col("section_title"), F.col("text"))).alias("contextual"))
 
 
@@ -227,7 +226,7 @@ def format_table(spark, d):
     from evidex.operators.chunking import table_text
 
     rows = F.transform(F.split(F.col("text"), r"\n"), lambda r: F.split(r, r"\|"))
-    found = chunks(spark, d).where("chunk_type = 'table' and text is not null")
+    found = chunks(spark, d, "chunk_type", "text").where("chunk_type = 'table' and text is not null")
     return found.select("chunk_id", F.md5(table_text(rows, F.array(F.lit("Site"), F.lit("Drug")))).alias("formatted"))
 
 
@@ -245,7 +244,7 @@ def cosine(spark, d):
 
 def sparse_roundtrip(spark, d):
     """Sparse maps taken apart, sorted, and put together again."""
-    points = latest(table(spark, d, "vector_points"), "point_id", "upserted_at")
+    points = latest(table(spark, d, "vector_points").select("point_id", "upserted_at", "sparse_vector"), "point_id", "upserted_at")
     e = vectors.sparse_entries(F.col("sparse_vector"))
     back = vectors.sparse_of(F.transform(e, lambda x: x["key"]), F.transform(e, lambda x: x["value"]))
     total = F.aggregate(F.map_values(back), F.lit(0.0), lambda s, x: s + x)

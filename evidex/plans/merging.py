@@ -40,12 +40,12 @@ _TITLES = f"""with t as (select distinct source_type, t, [substr(t, i, 3) for i
 
 def chunk_dedupe(spark, d):
     """Chunks, the first of each id."""
-    return chunks(spark, d).select("chunk_id", "doc_id", "chunk_index")
+    return chunks(spark, d, "doc_id", "chunk_index").select("chunk_id", "doc_id", "chunk_index")
 
 
 def chunk_text_dedupe(spark, d):
     """Chunks of a document, the first of each text."""
-    rows = chunks(spark, d).withColumn("h", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 12))
+    rows = chunks(spark, d, "doc_id", "chunk_index", "text").withColumn("h", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 12))
     return merge.first_by(rows, ["doc_id", "h"], "chunk_index", "chunk_id").select("chunk_id", "h")
 
 
@@ -69,7 +69,7 @@ def chunk_exists(spark, d):
 
 def upsert_latest(spark, d):
     """The index after all upserts: the last row of each point."""
-    return merge.latest(table(spark, d, "vector_points"), "point_id", "upserted_at").select("point_id", F.unix_micros(F.col("upserted_at").cast("timestamp")).alias("at"))
+    return merge.latest(table(spark, d, "vector_points").select("point_id", "upserted_at"), "point_id", "upserted_at").select("point_id", F.unix_micros(F.col("upserted_at").cast("timestamp")).alias("at"))
 
 
 def upsert_orders(spark, d):
@@ -88,7 +88,7 @@ _ORDERS = """with first as (select distinct on (o_custkey) o_custkey, o_orderkey
 def chunk_metadata(spark, d):
     """Chunks with position, count and metadata of their document."""
     docs = table(spark, d, "doc_records").groupBy("doc_id").agg(F.max_by(F.struct("source_type", "journal", "year"), "record_id").alias("r"))
-    rows = chunks(spark, d)
+    rows = chunks(spark, d, "doc_id", "chunk_index", "text")
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     return rows.join(docs, "doc_id", "left").join(counts, "doc_id").select("chunk_id", "chunk_index", "n_chunks", "r.source_type", "r.journal", F.coalesce("r.year", F.lit(0)).cast("bigint").alias("year"), text.length_tokens(F.col("text")).cast("bigint").alias("tokens"))
 
