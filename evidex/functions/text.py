@@ -15,6 +15,10 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "~")
 
 
+#: What Unicode takes for a character of a word and for a blank, as the inside of a class; marks are no part of words.
+WORD, BLANK = r"\p{L}\p{N}_", r"\p{IsWhite_Space}\x1c-\x1f"
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -70,7 +74,9 @@ def short_hash(*parts: Column) -> Column:
 
 
 def title_norm(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain(title)), r"[^\w\s]", ""), r"\s+", " "))
+    """Lower case, letters, digits and single blanks of any script; null as empty."""
+    kept = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), f"[^{WORD}{BLANK}]", "")
+    return F.trim(F.regexp_replace(kept, f"[{BLANK}]+", " "))
 
 
 def garble(text: Column) -> Column:
