@@ -102,16 +102,19 @@ def shingles3(text: Column) -> Column:
 
 
 def clinical_tokens(text: Column) -> Column:
-    """Compound terms once each, then words of three or more characters that are no stop words."""
+    """Compound terms once each, then words of three or more characters that are no stop words.
+
+    Words are of ASCII, their boundaries of Unicode: a part of a word with other letters is no term.
+    """
     compounds = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(c.replace(" ", "_")).alias("u")) for c in L.COMPOUNDS])
-    start = F.struct(F.lower(plain(text)).alias("t"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("t"), F.array().cast("array<string>").alias("found"))
 
     def step(s: Column, c: Column) -> Column:
         marked = F.struct(F.replace(s["t"], c["c"], F.concat(F.lit(" "), c["u"], F.lit(" "))).alias("t"), F.array_append(s["found"], c["u"]).alias("found"))
         return F.when(s["t"].contains(c["c"]), marked).otherwise(s)
 
     def finish(s: Column) -> Column:
-        words = F.regexp_extract_all(s["t"], F.lit(r"\b([a-z][a-z0-9\-]{2,})\b"), 1)
+        words = F.regexp_extract_all(s["t"], F.lit(rf"(?<![{WORD}])([a-z][a-z0-9\-]{{2,}})(?:(?<=-)(?=[{WORD}])|(?<!-)(?![{WORD}]))"), 1)
         return F.concat(s["found"], F.filter(words, lambda w: ~w.isin(L.STOP_WORDS)))
 
     # a fold keeps the text as it changes; nested calls would be evaluated anew for each compound

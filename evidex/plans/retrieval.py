@@ -248,7 +248,7 @@ _CITATIONS = f"""with h as (select query_id, id, row_number() over (partition by
 def rerank_topk(spark, d):
     """The best eight of the hits of each question by a lexical stand-in for the reranking model: shared terms in the first 512 characters."""
     rows = _context(spark, d).join(questions(spark), "query_id")
-    asked, held = F.array_distinct(text.clinical_tokens(F.col("query"))), F.array_distinct(text.clinical_tokens(F.substring(text.plain(F.col("content")), 1, 512)))
+    asked, held = F.array_distinct(text.clinical_tokens(F.col("query"))), F.array_distinct(text.clinical_tokens(F.substring("content", 1, 512)))
     scored = rows.select("query_id", "id", F.size(F.array_intersect(asked, held)).cast("double").alias("score"))
     return R._best(scored, L.RERANK_TOP, "query_id").select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 

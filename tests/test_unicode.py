@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from evidex.functions import lexicons as L
 from evidex.functions import text
 from evidex.operators import merge
 
@@ -33,3 +34,16 @@ def test_title_pairs_of_any_script(spark):
     grams = {t: {t[i : i + 3] for i in range(len(t) - 2)} for t in names}
     want = {(a, b, round(s, 9)) for a in names for b in names if a < b and grams[a] and grams[b] and (s := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.6}
     assert len(want) == 2 and got == want
+
+
+def _tokens(s):
+    lower, found = (s or "").lower(), []
+    for c in L.COMPOUNDS:
+        if c in lower:
+            lower = lower.replace(c, f" {c.replace(' ', '_')} ")
+            found.append(c.replace(" ", "_"))
+    return found + [w for w in re.findall(r"\b[a-z][a-z0-9\-]{2,}\b", lower) if w not in L.STOP_WORDS]
+
+
+def test_terms_of_any_script(spark):
+    assert _column(spark, text.clinical_tokens) == [_tokens(s) for s in TEXTS]
