@@ -60,7 +60,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    """Lower case with single blanks, those of Unicode too; null as empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{BLANK}]+", " "))
 
 
 def content_hash(text: Column) -> Column:

@@ -36,8 +36,8 @@ def token_estimates(spark, d):
 
 
 def content_hash(spark, d):
-    """Hash of normalised plain content."""
-    return table(spark, d, "doc_records").select("record_id", text.content_hash(text.plain(F.col("content"))).alias("hash"))
+    """Hash of normalised content."""
+    return table(spark, d, "doc_records").select("record_id", text.content_hash(F.col("content")).alias("hash"))
 
 
 def content_hash_short(spark, d):

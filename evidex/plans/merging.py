@@ -13,7 +13,7 @@ from evidex.runtime import table
 
 def dedupe_exact(spark, d):
     """Records with the first of the same normalised content."""
-    rows = table(spark, d, "doc_records").select("record_id", text.plain(F.col("content")).alias("content"))
+    rows = table(spark, d, "doc_records").select("record_id", "content")
     return merge.exact_duplicates(rows, "record_id", "content").select("record_id", "duplicate_of")
 
 

@@ -1,5 +1,6 @@
 """Text of any script, against brute force in Python; the comparison SQL reads every character outside ASCII as ``~``."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from evidex.functions import lexicons as L
 from evidex.functions import text
 from evidex.operators import merge
+from evidex.plans.expressions import content_hash
+from evidex.plans.merging import dedupe_exact
 
 TEXTS = [
     "维亚平治疗贫血的2012年研究", "维亚平治疗贫血的2013年研究", "Réduction de l'infirmité: étude №5", "Уменьшение боли\u00a0— обзор", "Уменьшение боли - обзор.", "高血圧の治療", "การรักษา โรค", "مرض السكري", "हिन्दी में अध्ययन",
@@ -36,6 +39,26 @@ def test_title_pairs_of_any_script(spark):
     assert len(want) == 2 and got == want
 
 
+def _hash(s):
+    return hashlib.sha256(re.sub(r"\s+", " ", (s or "").strip().lower()).encode()).hexdigest()
+
+
+def test_hashes_of_any_script(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "record_id long, content string").coalesce(1).write.parquet(f"{tmp_path}/doc_records.parquet")
+    assert {r.record_id: r.hash for r in content_hash(spark, str(tmp_path)).collect()} == {i: _hash(s) for i, s in enumerate(TEXTS)}
+
+
+def test_contents_that_differ_in_letters_are_no_duplicates(spark, tmp_path):
+    rows = [*TEXTS, "  高血圧の\u3000治療", "高血圧の 治療", "低血圧の 治療"]
+    spark.createDataFrame(list(enumerate(rows)), "record_id long, content string").coalesce(1).write.parquet(f"{tmp_path}/doc_records.parquet")
+    first: dict = {}
+    want = {}
+    for i, s in enumerate(rows):
+        want[i] = None if not (s or "").strip() or first.setdefault(_hash(s), i) == i else first[_hash(s)]
+    assert len([v for v in want.values() if v is not None]) == 1
+    assert {r.record_id: r.duplicate_of for r in dedupe_exact(spark, str(tmp_path)).collect()} == want
+
+
 def _tokens(s):
     lower, found = (s or "").lower(), []
     for c in L.COMPOUNDS:
