@@ -17,17 +17,17 @@ from evidex.operators import retrieve as R
 from evidex.plans import sql as S
 from evidex.operators.validate import validate_documents
 from evidex.plans.expressions import _CHUNKS, _DOCS, _JUDGED, chunks
-from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _sparse_topk_sql, _vectors, questions
+from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _sparse_topk_sql, _vectors, over_titles, questions
 from evidex.runtime import table
 
 NOW = 2026  # the year citations are aged against
 
 
-def route(spark, d):
+def route(spark, d, asked=questions):
     """How complex each question is, and the aspects to search for."""
     found = C.route(_lower())
     cols = {n: F.array_join(c, ",") if n in ("aspects", "diseases", "drugs") else c.cast("bigint") if n in ("patterns", "entities") else c.cast("double") if n in ("structure", "confidence") else c for n, c in found.items()}
-    return questions(spark).select("query_id", *[c.alias(n) for n, c in cols.items()])
+    return asked(spark, d).select("query_id", *[c.alias(n) for n, c in cols.items()])
 
 
 def _route_sql() -> str:
@@ -46,9 +46,9 @@ def _route_sql() -> str:
         array_to_string({S.present('q', L.ROUTE_DISEASES)}, ',') as diseases, array_to_string({S.present('q', L.ROUTE_DRUGS)}, ',') as drugs from g"""
 
 
-def decompose(spark, d):
+def decompose(spark, d, asked=questions):
     """Sub-queries of each question by rule."""
-    return understand.decompose(questions(spark)).withColumn("priority", F.col("priority").cast("bigint"))
+    return understand.decompose(asked(spark, d)).withColumn("priority", F.col("priority").cast("bigint"))
 
 
 def _decompose_sql() -> str:
@@ -61,9 +61,9 @@ def _decompose_sql() -> str:
     return " union all ".join(parts)
 
 
-def subquery_merge(spark, d):
+def subquery_merge(spark, d, asked=questions):
     """Hits of the sub-queries of each question, a record once per sub-query, the best five."""
-    subs = decompose(spark, d).select(F.struct("query_id", "sub_id").alias("query_id"), F.col("sub_query"))
+    subs = decompose(spark, d, asked).select(F.struct("query_id", "sub_id").alias("query_id"), F.col("sub_query"))
     postings = R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id")
     keyed = subs.select(F.concat_ws("/", F.col("query_id.query_id").cast("string"), "query_id.sub_id").alias("query_id"), "sub_query")
     hits = R.sparse_topk(R.sparse_vectors(keyed, "query_id", "sub_query"), postings, 5)
@@ -76,11 +76,11 @@ def _merge_sql() -> str:
       row_number() over (partition by query_id order by score desc, id) - 1 as rank from ({inner.replace('round(score, 8) as score', 'score')})"""
 
 
-def deep_confidence(spark, d):
+def deep_confidence(spark, d, asked=questions):
     """Confidence over the sub-queries of a question: share with hits, mean hits, contradictions."""
-    subs = decompose(spark, d).groupBy("query_id").agg(F.count("*").alias("subs"))
-    hits = subquery_merge(spark, d).groupBy("query_id").agg(F.countDistinct("sub_id").alias("good"), F.count("*").alias("hits"))
-    against = contradictions(spark, d).groupBy("query_id").agg(F.count("*").alias("against"))
+    subs = decompose(spark, d, asked).groupBy("query_id").agg(F.count("*").alias("subs"))
+    hits = subquery_merge(spark, d, asked).groupBy("query_id").agg(F.countDistinct("sub_id").alias("good"), F.count("*").alias("hits"))
+    against = contradictions(spark, d, asked).groupBy("query_id").agg(F.count("*").alias("against"))
     rows = subs.join(hits, "query_id", "left").join(against, "query_id", "left").fillna(0)
     raw = F.col("good") / F.col("subs") * 0.4 + F.least(F.lit(1.0), F.col("hits") / F.col("subs") / 5) * 0.6 - F.least(F.lit(0.3), 0.1 * F.col("against"))
     return rows.select("query_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("confidence"))
@@ -92,9 +92,9 @@ def _deep_sql() -> str:
       from a left join b using (query_id) left join c using (query_id)"""
 
 
-def contradictions(spark, d):
+def contradictions(spark, d, asked=questions):
     """Opposed words in the hits of a question that share a topic."""
-    return checks.contradictions(_context(spark, d).select("query_id", "id", text.plain(F.col("title")).alias("title"), text.plain(F.col("content")).alias("text")))
+    return checks.contradictions(_context(spark, d, asked).select("query_id", "id", text.plain(F.col("title")).alias("title"), text.plain(F.col("content")).alias("text")))
 
 
 def _contradictions_sql() -> str:
@@ -209,9 +209,9 @@ def trusted_ratio(spark, d):
     return table(spark, d, "doc_records").groupBy("doc_id").agg(F.round(F.avg(F.coalesce("source_type", F.lit("")).isin(list(L.TRUSTED)).cast("double")), 6).alias("trusted"))
 
 
-def consistency(spark, d):
+def consistency(spark, d, asked=questions):
     """Agreement of the hits behind each question: distinct sources and variance of scores."""
-    rows = _context(spark, d).groupBy("query_id").agg(F.countDistinct("source_type").alias("sources"), F.var_pop("score").alias("variance"), F.count("*").alias("n"))
+    rows = _context(spark, d, asked).groupBy("query_id").agg(F.countDistinct("source_type").alias("sources"), F.var_pop("score").alias("variance"), F.count("*").alias("n"))
     return rows.select("query_id", F.round(scoring.consistency(F.col("sources"), F.col("variance"), F.col("n")), 6).alias("consistency"))
 
 
@@ -223,13 +223,13 @@ _CONSISTENCY = f"""select query_id, round(case when n < 2 then 0.8::double else
  from (select query_id, count(distinct source_type) as s, var_pop(score) as v, count(*) as n from {_hit_rows()} group by query_id)"""
 
 
-def answer_quality(spark, d):
+def answer_quality(spark, d, asked=questions):
     """Mean score of the hits behind each question, each held to [0, 1]."""
-    return _context(spark, d).groupBy("query_id").agg(F.round(F.avg(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))), 6).alias("quality"))
+    return _context(spark, d, asked).groupBy("query_id").agg(F.round(F.avg(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))), 6).alias("quality"))
 
 
-def _graded(spark, d):
-    rows = _context(spark, d).withColumn("w", checks.warnings(F.col("t")))
+def _graded(spark, d, asked=questions):
+    rows = _context(spark, d, asked).withColumn("w", checks.warnings(F.col("t")))
     level = F.coalesce("evidence_level", F.lit(3))
     warned = checks.safety(F.col("w"))
     return rows.groupBy("query_id").agg(
@@ -244,15 +244,15 @@ def _sure():
     return scoring.confidence(F.col("n"), F.col("average"), F.col("first"), F.lit(0.1), F.col("quality"), steady, F.col("warnings"), F.col("high"))
 
 
-def confidence(spark, d):
+def confidence(spark, d, asked=questions):
     """Confidence in an answer to each question from its hits."""
-    return _graded(spark, d).select("query_id", _sure().alias("confidence"))
+    return _graded(spark, d, asked).select("query_id", _sure().alias("confidence"))
 
 
-def verdict(spark, d):
+def verdict(spark, d, asked=questions):
     """Verdict on an answer to each question."""
     v = scoring.verdict(F.lit(0.1), ~F.col("high"), F.col("valid"), F.col("n"), F.col("disclaimer"), _sure(), F.lit(0))
-    return _graded(spark, d).select("query_id", v.alias("verdict"))
+    return _graded(spark, d, asked).select("query_id", v.alias("verdict"))
 
 
 def _graded_sql() -> str:
@@ -339,3 +339,5 @@ QUERIES = {
     "event_windows": (event_windows, "select epoch_us(date_trunc('hour', ts)) as hour, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2"),
     "event_sessions": (event_sessions, "select user_id, session, count(*) as n, round(sum(value), 2) as total from (select *, sum(starts) over (partition by user_id order by ts, event_id) as session from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 1800000000 then 0 else 1 end as starts from events)) group by 1, 2"),
 }
+ROW_WISE, SEARCHES = ("route", "decompose"), ("subquery_merge", "deep_confidence", "contradictions", "consistency", "answer_quality", "confidence", "verdict")
+QUERIES |= over_titles(QUERIES, ROW_WISE, SEARCHES)

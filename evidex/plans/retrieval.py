@@ -1,7 +1,9 @@
-"""Queries of query understanding and retrieval. Questions are a fixed short list; vectors are searched for every row whose id 50 divides."""
+"""Queries of query understanding and retrieval. Questions are a fixed short list, in the queries named ``_titles`` the titles of the table; vectors are searched for every row whose id 50 divides."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from evidex.functions import classify as C
@@ -30,35 +32,58 @@ QUESTIONS = [
 _Q = "(values " + ", ".join(f"({i}::bigint, {S.text(q)})" for i, q in enumerate(QUESTIONS)) + ") as q(query_id, query)"
 
 
-def questions(spark):
+def questions(spark, d=None):
     return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, query string")
 
 
+def titles(spark, d):
+    """The title of each record as a question."""
+    return table(spark, d, "doc_records").select(F.col("record_id").cast("bigint").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"))
+
+
+def searched_titles(spark, d):
+    """Those of ids that 50 divides: the questions of searches."""
+    return titles(spark, d).where("query_id % 50 = 0")
+
+
+TITLES = "(select record_id::bigint, coalesce(title, '') from doc_records) as q(query_id, query)"
+SEARCHED_TITLES = TITLES.replace(" from doc_records", " from doc_records where record_id % 50 = 0")
+
+
+def over_titles(found: dict, row_wise: tuple, searches: tuple) -> dict:
+    """The queries of those names once more, with the titles of the table in place of the short list.
+
+    Searches have no SQL here: that of the short list, which takes characters outside ASCII for ``~``, holds for ASCII rows alone.
+    """
+    rows = {f"{n}_titles": (partial(found[n][0], asked=titles), found[n][1].replace(_Q, TITLES)) for n in row_wise}
+    return rows | {f"{n}_titles": (partial(found[n][0], asked=searched_titles), None) for n in searches}
+
+
 def _lower():
     return F.lower(F.trim("query"))
 
 
-def query_intent(spark, d):
-    return questions(spark).select("query_id", C.query_intent(_lower()).alias("intent"))
+def query_intent(spark, d, asked=questions):
+    return asked(spark, d).select("query_id", C.query_intent(_lower()).alias("intent"))
 
 
-def query_expand(spark, d):
-    return questions(spark).select("query_id", F.array_join(C.expansions(_lower()), "|").alias("terms"))
+def query_expand(spark, d, asked=questions):
+    return asked(spark, d).select("query_id", F.array_join(C.expansions(_lower()), "|").alias("terms"))
 
 
-def infer_filters(spark, d):
-    rows = questions(spark).select("query_id", F.explode(C.inferred_filters(_lower())).alias("f"))
+def infer_filters(spark, d, asked=questions):
+    rows = asked(spark, d).select("query_id", F.explode(C.inferred_filters(_lower())).alias("f"))
     return rows.select("query_id", "f.field", "f.op", "f.value")
 
 
-def query_entities(spark, d):
+def query_entities(spark, d, asked=questions):
     """Named classes in a question, where no model tells them."""
     found = F.filter(F.array(*[F.when(_lower().contains(word), F.struct(F.lit(kind).alias("kind"), F.lit(word).alias("entity"))) for kind, word in L.QUERY_ENTITIES]), lambda x: x.isNotNull())
-    return questions(spark).select("query_id", F.explode(found).alias("e")).select("query_id", "e.kind", "e.entity")
+    return asked(spark, d).select("query_id", F.explode(found).alias("e")).select("query_id", "e.kind", "e.entity")
 
 
-def query_rewrite(spark, d):
-    return questions(spark).select("query_id", C.rewritten(F.col("query")).alias("rewritten"), text.first_of(F.lower("query"), L.REWRITE_INTENTS, "general").alias("intent"), F.array_join(C.search_terms(F.col("query")), "|").alias("terms"))
+def query_rewrite(spark, d, asked=questions):
+    return asked(spark, d).select("query_id", C.rewritten(F.col("query")).alias("rewritten"), text.first_of(F.lower("query"), L.REWRITE_INTENTS, "general").alias("intent"), F.array_join(C.search_terms(F.col("query")), "|").alias("terms"))
 
 
 def _rewrite_sql() -> str:
@@ -141,9 +166,9 @@ def _dense_sql(k: int, where: str = "true") -> str:
       select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0 and {where})) where rank < {k}"""
 
 
-def sparse_topk(spark, d):
+def sparse_topk(spark, d, asked=questions):
     """The ten records that share most weight of terms with each question."""
-    q = R.sparse_vectors(questions(spark), "query_id", "query")
+    q = R.sparse_vectors(asked(spark, d), "query_id", "query")
     return R.sparse_topk(q, R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id"), 10).select("query_id", "id", F.round("score", 8).alias("score"))
 
 
@@ -207,16 +232,16 @@ _MMR = f"""with recursive c as materialized ({_dense_sql(20)}), s as materialize
  select query_id, pos, id from m"""
 
 
-def _context(spark, d):
+def _context(spark, d, asked=questions):
     """Chunks of the records found for each question, in order of rank."""
-    hits = R.sparse_topk(R.sparse_vectors(questions(spark), "query_id", "query"), R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id"), 20)
+    hits = R.sparse_topk(R.sparse_vectors(asked(spark, d), "query_id", "query"), R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id"), 20)
     docs = documents(spark, d).withColumn("kind", C.doc_type(F.col("t"))).withColumn("level", C.evidence_level(F.col("kind"))).withColumn("india", text.contains_any(F.col("t"), L.INDIA_WORDS))
     return hits.join(docs.withColumnRenamed("record_id", "id"), "id")
 
 
-def context_prefix(spark, d):
+def context_prefix(spark, d, asked=questions):
     """Numbered blocks within the character budget of each question."""
-    rows = _context(spark, d)
+    rows = _context(spark, d, asked)
     block = R.context_block(F.col("rank") + 1, F.col("title"), F.coalesce("year", F.lit(0)), F.col("journal"), F.col("level"), F.col("kind"), F.col("india"), F.col("content"))
     found = R.context_prefix(rows.select("query_id", F.col("rank").alias("pos"), "id", block.alias("block")))
     return found.select("query_id", F.col("pos").cast("bigint").alias("pos"), "id", F.md5("block").alias("block"))
@@ -232,9 +257,9 @@ def _context_sql() -> str:
       select query_id, pos, id, md5(block) as block from (select *, sum(length(block)) over (partition by query_id order by pos) as upto from b) where upto <= {L.CONTEXT_CHARS}"""
 
 
-def citations(spark, d):
+def citations(spark, d, asked=questions):
     """Numbered citations of the hits of each question."""
-    rows = _context(spark, d)
+    rows = _context(spark, d, asked)
     pmid = F.regexp_extract("doc_id", r"^pmid_(\d+)$", 1)
     url = F.when(pmid == "", "").otherwise(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid))
     return rows.select("query_id", (F.col("rank") + 1).cast("bigint").alias("number"), "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("doi", F.lit("")).alias("doi"), "level", url.alias("source_url"))
@@ -245,9 +270,9 @@ _CITATIONS = f"""with h as (select query_id, id, row_number() over (partition by
  case when regexp_full_match(doc_id, 'pmid_\\d+') then 'https://pubmed.ncbi.nlm.nih.gov/' || substr(doc_id, 6) else '' end as source_url from h join {_DOCS} x on h.id = x.record_id"""
 
 
-def rerank_topk(spark, d):
+def rerank_topk(spark, d, asked=questions):
     """The best eight of the hits of each question by a lexical stand-in for the reranking model: shared terms in the first 512 characters."""
-    rows = _context(spark, d).join(questions(spark), "query_id")
+    rows = _context(spark, d, asked).join(asked(spark, d), "query_id")
     asked, held = F.array_distinct(text.clinical_tokens(F.col("query"))), F.array_distinct(text.clinical_tokens(F.substring("content", 1, 512)))
     scored = rows.select("query_id", "id", F.size(F.array_intersect(asked, held)).cast("double").alias("score"))
     return R._best(scored, L.RERANK_TOP, "query_id").select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -277,3 +302,5 @@ QUERIES = {
     "citations": (citations, _CITATIONS),
     "rerank_topk": (rerank_topk, _RERANK),
 }
+ROW_WISE, SEARCHES = ("query_intent", "query_expand", "infer_filters", "query_entities", "query_rewrite"), ("sparse_topk", "context_prefix", "citations", "rerank_topk")
+QUERIES |= over_titles(QUERIES, ROW_WISE, SEARCHES)
