@@ -54,13 +54,18 @@ def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(*_scanned(spark, folder))
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def p3_found(spark: SparkSession, folder: str, **settings) -> DataFrame:
     """Pairs of points of cosine of at least 0.80, one among the ten most similar of the other."""
     points = table(spark, folder, "vector_points").select(F.col("point_id").alias("id"), F.col("upserted_at").alias("at"), F.col("dense_vector").alias("vec"))
-    found = nearest(points, k=10, minimum=0.8)
+    found = nearest(points, k=10, minimum=0.8, **settings)
     return found.select(F.least("q", "x").alias("point_a"), F.greatest("q", "x").alias("point_b")).distinct()
 
 
+def p3_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """As p3_found with a factor of one, by which nothing is lost."""
+    return p3_found(spark, folder, factor=1.0)
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """Contents as items; one of under 40 characters but for the blanks around it is no case."""
     blanks = F.lit(" \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\u00a0\u2002\u2003\u2009\u200a\u2028\u2029\u202f\u3000")
@@ -119,7 +124,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
+    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_exact, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_shares, p9_found, p9_rates)}
 
 
 #: All similar pairs by brute force over the substrings of 20 characters.
@@ -140,6 +145,11 @@ def oracle_sql() -> dict[str, str]:
  d as (select a, b from p where a <> b union select b, a from p where a <> b),
  c(a, b) as (select a, b from d union select c.a, d.b from c join d on c.b = d.a)
  select m.record_id, least(m.rep, coalesce((select min(b) from c where c.a = m.rep), m.rep)) as group_id, (select count(*) from d where d.a = m.rep) as links from m""",
+        "p3_exact": """with v as (select point_id as id, dense_vector::double[] as v from vector_points where point_id is not null qualify row_number() over (partition by point_id order by upserted_at desc) = 1),
+ u as (select id, v from v where len(v) = 96 and not list_contains(list_transform(v, x -> isfinite(x)), false) and list_dot_product(v, v) > 0),
+ c as (select a.id as q, b.id as x, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.id <> b.id),
+ k as (select q, x from c where c >= 0.8 qualify row_number() over (partition by q order by c desc, x) <= 10)
+ select distinct least(q, x) as point_a, greatest(q, x) as point_b from k""",
         "p5_found": f"""with recursive {_PAIRS},
  o as (select record_id, row_number() over (order by ingested_at, record_id) as i from doc_records where ingested_at is not null and record_id in (select record_a from f union select record_b from f)),
  e as (select least(x.i, y.i) as early, greatest(x.i, y.i) as late from f join o x on x.record_id = record_a join o y on y.record_id = record_b),
