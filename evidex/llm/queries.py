@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
  c(a, b) as (select a, b from d union select c.a, d.b from c join d on c.b = d.a)
  select m.record_id, least(m.rep, coalesce((select min(b) from c where c.a = m.rep), m.rep)) as group_id, (select count(*) from d where d.a = m.rep) as links from m""",
         "p3_exact": """with v as (select point_id as id, dense_vector::double[] as v from vector_points where point_id is not null qualify row_number() over (partition by point_id order by upserted_at desc) = 1),
- u as (select id, v from v where len(v) = 96 and not list_contains(list_transform(v, x -> isfinite(x)), false) and list_dot_product(v, v) > 0),
+ u as (select id, v from v where len(v) = 96 and not list_contains(list_transform(v, lambda x: isfinite(x)), false) and list_dot_product(v, v) > 0),
  c as (select a.id as q, b.id as x, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.id <> b.id),
  k as (select q, x from c where c >= 0.8 qualify row_number() over (partition by q order by c desc, x) <= 10)
  select distinct least(q, x) as point_a, greatest(q, x) as point_b from k""",
