@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from evidex.functions import lexicons as L
 
 
-def plain(text: Column) -> Column:
-    """Null as empty, every character outside ASCII as ``~``: what the ASCII patterns are applied to."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "~")
-
-
 #: What Unicode takes for a character of a word and for a blank, as the inside of a class; marks are no part of words.
 WORD, BLANK = r"\p{L}\p{N}_", r"\p{IsWhite_Space}\x1c-\x1f"
 
 
+def plain(text: Column) -> Column:
+    """Null as empty; outside ASCII blanks become a blank, letters and figures ``_``, all else ``~``.
+
+    What patterns of ASCII words are applied to: their word boundaries are then those of Unicode.
+    """
+    text = F.coalesce(text, F.lit(""))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\p{IsWhite_Space}&&[^\x00-\x7F]]", " "), r"[^\x00-\x7F\p{L}\p{N}]", "~"), r"[^\x00-\x7F]", "_")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without blanks around it, those of Unicode too."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -51,7 +57,7 @@ def length_tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S+)"), 1))
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([^{BLANK}]+)"), 1))
 
 
 def word_tokens(text: Column) -> Column:
@@ -135,7 +141,7 @@ def sentences(text: Column) -> Column:
     """Sentences by a mark, blanks and a capital; short forms are protected and come back in lower case."""
     for i, form in enumerate(L.SHORT_FORMS):
         text = F.regexp_replace(text, "(?i)" + form.replace(".", r"\."), chr(1) + chr(97 + i) + chr(2))
-    split = F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
+    split = F.split(text, rf"(?<=[.!?])[{BLANK}]+(?=[A-Z])")
 
     def restore(s: Column) -> Column:
         for i, form in enumerate(L.SHORT_FORMS):
@@ -149,5 +155,5 @@ def answer_sentences(text: Column) -> Column:
     """Sentences of an answer, of more than ten characters; titles and units are protected."""
     for i, form in enumerate(L.ANSWER_SHORT_FORMS):
         text = F.replace(text, F.lit(form), F.lit(form.replace(".", chr(1))))
-    split = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: strip(F.replace(s, F.lit(chr(1)), F.lit("."))))
+    split = F.transform(F.split(text, rf"(?<=[.!?])[{BLANK}]+"), lambda s: strip(F.replace(s, F.lit(chr(1)), F.lit("."))))
     return F.filter(split, lambda s: F.length(s) > 10)

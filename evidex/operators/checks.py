@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import lexicons as L
-from evidex.functions.text import hits
+from evidex.functions.text import BLANK, hits
 
 
 def contradictions(chunks: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def contradictions(chunks: DataFrame) -> DataFrame:
     word of more than four letters in the titles. Pairs come from a join on such words.
     """
     lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    rows = chunks.select("query_id", "id", lower("text").alias("t"), F.array_distinct(F.filter(F.split(lower("title"), r"\s+"), lambda w: F.length(w) > 4)).alias("w"))
+    rows = chunks.select("query_id", "id", lower("text").alias("t"), F.array_distinct(F.filter(F.split(lower("title"), f"[{BLANK}]+"), lambda w: F.length(w) > 4)).alias("w"))
     words = rows.select("query_id", "id", F.explode("w").alias("w"))
     a, b = words.withColumnRenamed("id", "a"), words.withColumnRenamed("id", "b")
     pairs = a.join(b, ["query_id", "w"]).where("a < b").select("query_id", "a", "b").distinct()

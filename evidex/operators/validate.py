@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import lexicons as L
-from evidex.functions.text import garble, letter_share, strip
+from evidex.functions.text import BLANK, garble, letter_share, strip
 
 
 def validate_documents(df: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def clean_lines(text):
 
     def step(s, line):
         bare = strip(line)
-        flat = strip(F.regexp_replace(line, r"\s+", " "))
-        keep = (flat != "") & ~flat.rlike(r"^\d+$") & ((F.length(flat) >= 20) | flat.rlike(r"[.!?;:]$"))
+        flat = strip(F.regexp_replace(line, f"[{BLANK}]+", " "))
+        keep = (flat != "") & ~flat.rlike(r"^\p{Nd}+$") & ((F.length(flat) >= 20) | flat.rlike(r"[.!?;:]$"))
         opens, closes = bare == "[TABLE]", bare == "[/TABLE]"
         kept = F.when(opens | closes | s["table"], F.concat(s["kept"], F.array(line))).when(keep, F.concat(s["kept"], F.array(flat))).otherwise(s["kept"])
         return F.struct(F.when(opens, True).when(closes, False).otherwise(s["table"]).alias("table"), kept.alias("kept"))

@@ -94,14 +94,14 @@ def _deep_sql() -> str:
 
 def contradictions(spark, d, asked=questions):
     """Opposed words in the hits of a question that share a topic."""
-    return checks.contradictions(_context(spark, d, asked).select("query_id", "id", text.plain(F.col("title")).alias("title"), text.plain(F.col("content")).alias("text")))
+    return checks.contradictions(_context(spark, d, asked).select("query_id", "id", "title", F.col("content").alias("text")))
 
 
 def _contradictions_sql() -> str:
     parts = " union all ".join(
         f"select query_id, a, b, {S.text(kind)} as kind, {S.text(f'{x} vs {y}')} as evidence from p where (contains(ta, {S.text(x)}) and contains(tb, {S.text(y)})) or (contains(ta, {S.text(y)}) and contains(tb, {S.text(x)}))" for kind, x, y in L.OPPOSITES
     )
-    return f"""with h as (select query_id, id from ({_sparse_topk_sql(20)})), r as (select query_id, id, lower({S.plain('content')}) as t, list_filter(regexp_split_to_array(lower({S.plain('title')}), '\\s+'), lambda w: length(w) > 4) as w from h join doc_records x on x.record_id = h.id),
+    return f"""with h as (select query_id, id from ({_sparse_topk_sql(20)})), r as (select query_id, id, lower(coalesce(content, '')) as t, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[{S.BLANK}]+'), lambda w: length(w) > 4) as w from h join doc_records x on x.record_id = h.id),
       p as (select x.query_id, x.id as a, y.id as b, x.t as ta, y.t as tb from r x join r y on x.query_id = y.query_id and x.id < y.id and list_has_any(x.w, y.w)) {parts}"""
 
 
@@ -141,7 +141,7 @@ def _answers_sql() -> str:
     c = S.plain("text")
     for form in L.ANSWER_SHORT_FORMS:
         c = f"replace({c}, {S.text(form)}, {S.text(form[:-1])} || chr(1))"
-    split = f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(3), 'g'), chr(3))"
+    split = f"string_split(regexp_replace({c}, '([.!?])[{S.BLANK}]+', '\\1' || chr(3), 'g'), chr(3))"
     kept = f"list_filter(list_transform({split}, lambda s: {S.strip('replace(s, chr(1), ' + S.text('.') + ')')}), lambda s: length(s) > 10)"
     return f"""select chunk_id, content, unnest(s) as sentence, (generate_subscripts(s, 1) - 1)::bigint as pos from (select chunk_id, {S.plain('content')} as content, {kept} as s from {_CHUNKS} join (select doc_id, arg_max(content, record_id) as content from doc_records group by doc_id) using (doc_id) where text is not null)"""
 

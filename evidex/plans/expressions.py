@@ -160,7 +160,7 @@ def _quality_sql() -> str:
     raw = f"""({S.lookup('content_type', L.BASE_OF_CONTENT, L.BASE_UNKNOWN)})::double + {length} + least(0.10::double, {n} * 0.015::double) + ({S.lookup('v', L.BONUS_OF_LEVEL, 0.0)})::double
       + least(0.10::double, {S.hits('l', L.HIGH_VALUE)} * 0.02::double) + case when regexp_matches(l, {S.text(L.SAFETY)}) then 0.05::double else 0.0::double end - least(0.20::double, {S.hits('l', L.LOW_VALUE)} * 0.07::double)"""
     return f"""select chunk_id, round(greatest(0.0::double, least(1.0::double, {raw})), 4) as quality
-      from (select *, {level} as v, greatest(1, len(regexp_extract_all(l, '\\S+'))) as k from (select *, lower(' ' || substr({S.plain('text')}, 1, 500)) as b from {_TYPED}))"""
+      from (select *, {level} as v, greatest(1, {S.word_count('l')}) as k from (select *, lower(' ' || substr({S.plain('text')}, 1, 500)) as b from {_TYPED}))"""
 
 
 def quality_gate(spark, d):
@@ -196,11 +196,11 @@ def rejected_chunks(spark, d):
 
 def clean_lines_q(spark, d):
     """Contents with line noise removed, as hashes."""
-    return table(spark, d, "doc_records").select("record_id", F.md5(clean_lines(text.plain(F.col("content")))).alias("cleaned"))
+    return table(spark, d, "doc_records").select("record_id", F.md5(clean_lines(F.col("content"))).alias("cleaned"))
 
 
-_CLEAN = f"""select record_id, md5(coalesce({S.strip("array_to_string(list_filter(list_transform(regexp_split_to_array(c, '\\r\\n|\\n|\\r'), lambda s: regexp_replace(regexp_replace(s, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '' and not regexp_full_match(s, '\\d+') and (length(s) >= 20 or regexp_matches(s, '[.!?;:]$'))), chr(10))")}, '')) as cleaned
- from (select record_id, {S.plain('content')} as c from doc_records)"""
+_CLEAN = f"""select record_id, md5(coalesce({S.strip("array_to_string(list_filter(list_transform(regexp_split_to_array(c, '\\r\\n|\\n|\\r'), lambda s: " + S.strip("regexp_replace(s, '[" + S.BLANK + "]+', ' ', 'g')") + "), lambda s: s <> '' and not regexp_full_match(s, '\\p{Nd}+') and (length(s) >= 20 or regexp_matches(s, '[.!?;:]$'))), chr(10))")}, '')) as cleaned
+ from (select record_id, coalesce(content, '') as c from doc_records)"""
 
 
 def condition_tags(spark, d):
@@ -263,7 +263,7 @@ def json_props(spark, d):
 
 def cache_keys(spark, d):
     """Cache keys of queries: the title of each record as a query."""
-    part = F.concat_ws("|", F.lower(F.trim(text.plain(F.col("title")))), F.lit("{}"))
+    part = F.concat_ws("|", F.lower(text.strip(F.coalesce("title", F.lit("")))), F.lit("{}"))
     return table(spark, d, "doc_records").select("record_id", F.concat(F.lit("search:v1:hits:"), F.substring(F.sha2(part, 256), 1, 16)).alias("cache_key"))
 
 
@@ -329,10 +329,10 @@ _LEVEL = S.lookup(f"({S.doc_type('t')})", L.LEVEL_OF_TYPE, "unknown")
 _NUMBER = lambda c: f"case when regexp_full_match({c}, '-?\\d{{1,9}}') then greatest(1, least(5, try_cast({c} as bigint))) when regexp_matches({c}, '^[1-5]') then try_cast(substr({c}, 1, 1) as bigint) else 3 end"
 
 QUERIES = {
-    "token_estimates": (token_estimates, f"select chunk_id, {S.length_tokens('text')} as by_length, floor(len(regexp_extract_all(coalesce(text, ''), '\\S+')) * 1.3::double)::bigint as by_words from {_CHUNKS}"),
-    "content_hash": (content_hash, f"select record_id, sha256({S.normal(S.plain('content'))}) as hash from doc_records"),
+    "token_estimates": (token_estimates, f"select chunk_id, {S.length_tokens('text')} as by_length, floor({S.word_count('text')} * 1.3::double)::bigint as by_words from {_CHUNKS}"),
+    "content_hash": (content_hash, f"select record_id, sha256({S.normal('content')}) as hash from doc_records"),
     "content_hash_short": (content_hash_short, f"select record_id, substr(sha256(array_to_string(list_filter([{S.strip(S.or_empty('title'))}, {S.strip(S.or_empty('content'))}], lambda p: p <> ''), '|')), 1, 16) as hash from doc_records"),
-    "title_norm": (title_norm, f"select record_id, trim(regexp_replace(regexp_replace(lower({S.plain('title')}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) as title_norm from doc_records"),
+    "title_norm": (title_norm, f"select record_id, {S.title_norm('title')} as title_norm from doc_records"),
     "garble_score": (garble_score, f"select doc_id, round({_garble('text')}, 6) as garble from documents"),
     "filter_conj": (filter_conj, "select record_id, source_type from doc_records where coalesce(year, 0) >= 2010 and source_type in ('pubmed', 'who', 'icmr') and coalesce(evidence_level, 5) < 4"),
     "boosts": (boosts, f"select record_id, {S.doc_type('t')} as doc_type, {_LEVEL} as level, ({S.evidence_boost('(' + _LEVEL + ')')})::double as evidence_boost, ({S.recency_boost('coalesce(year, 0)')})::double as recency_boost from {_DOCS}"),
@@ -356,7 +356,7 @@ QUERIES = {
     "cosine": (cosine, "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 8) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"),
     "sparse_roundtrip": (sparse_roundtrip, _SPARSE),
     "json_props": (json_props, "select event_type, count(*) as n, count(try_cast(props->>'$.k' as bigint)) as parsed, sum(try_cast(props->>'$.k' as bigint))::bigint as total from events group by event_type"),
-    "cache_keys": (cache_keys, f"select record_id, 'search:v1:hits:' || substr(sha256(lower(trim({S.plain('title')})) || '|{{}}'), 1, 16) as cache_key from doc_records"),
+    "cache_keys": (cache_keys, f"select record_id, 'search:v1:hits:' || substr(sha256(lower({S.strip(S.or_empty('title'))}) || '|{{}}'), 1, 16) as cache_key from doc_records"),
     "point_lookup": (point_lookup, "select record_id, doc_id, title from doc_records where record_id = 7"),
     "doc_ids_by_source": (doc_ids_by_source, "select distinct doc_id from doc_records where source_type = 'who'"),
     "index_rows": (index_rows, _INDEX),

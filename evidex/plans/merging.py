@@ -30,7 +30,7 @@ def title_dupes(spark, d):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-_TITLES = f"""with t as (select distinct source_type, t, [substr(t, i, 3) for i in range(1, length(t) - 1)] as a from (select source_type, trim(regexp_replace(regexp_replace(lower({S.plain('title')}), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) as t from doc_records)
+_TITLES = f"""with t as (select distinct source_type, t, [substr(t, i, 3) for i in range(1, length(t) - 1)] as a from (select source_type, {S.title_norm('title')} as t from doc_records)
   where length(t) >= 3 and source_type is not null),
  g as (select *, list_distinct(a) as g from t)
  select x.source_type, x.t as title_a, y.t as title_b, round(len(list_intersect(x.g, y.g))::double / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) as similarity
@@ -99,33 +99,33 @@ _META = f"""with r as (select doc_id, arg_max({{'source_type': source_type, 'jou
 
 def sections(spark, d):
     """Sections of contents, with the hash of each text."""
-    rows = table(spark, d, "doc_records").select("record_id", text.plain(F.col("content")).alias("content"))
+    rows = table(spark, d, "doc_records").select("record_id", "content")
     return chunking.sections(rows, "record_id", "content").select("record_id", F.col("section_index").cast("bigint").alias("section_index"), "title", F.length("text").cast("bigint").alias("n_chars"))
 
 
-_SECTIONS = f"""with l as (select record_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (select record_id, list_transform(regexp_split_to_array({S.plain('content')}, '\\r\\n|\\n|\\r'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')) as a from doc_records)),
+_SECTIONS = f"""with l as (select record_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (select record_id, list_transform(regexp_split_to_array(coalesce(content, ''), '\\r\\n|\\n|\\r'), lambda s: {S.strip('s')}) as a from doc_records)),
  h as (select *, regexp_matches(lower(line), '^(?:\\d+\\.\\s*)?(abstract|introduction|background|methods?|materials and methods|results|discussion|conclusion|conclusions)\\s*$') as head from l),
  s as (select *, sum(head::int) over (partition by record_id order by i) as n, lag(line) over (partition by record_id order by i) as before from h),
  t as (select record_id, n, coalesce(max(case when head then line end), 'Main') as title,
-   regexp_replace(coalesce(string_agg(case when not head and (line <> '' or before <> '') then line end, chr(10) order by i), ''), '^\\s+|\\s+$', '', 'g') as text from s group by record_id, n)
+   regexp_replace(coalesce(string_agg(case when not head and (line <> '' or before <> '') then line end, chr(10) order by i), ''), '^[{S.BLANK}]+|[{S.BLANK}]+$', '', 'g') as text from s group by record_id, n)
  select record_id, (row_number() over (partition by record_id order by n) - 1)::bigint as section_index, title, length(text)::bigint as n_chars from t where text <> ''"""
 
 
 def sentences(spark, d):
-    """Number and length of the sentences of plain contents."""
-    found = text.sentences(text.plain(F.col("content")))
+    """Number and hash of the sentences of contents."""
+    found = text.sentences(F.coalesce("content", F.lit("")))
     return table(spark, d, "doc_records").select("record_id", F.size(found).cast("bigint").alias("n"), F.md5(F.array_join(found, "|")).alias("joined"))
 
 
 def _sentences_sql() -> str:
     from evidex.functions import lexicons as L
 
-    c, r = S.plain("content"), "s"
+    c, r = "coalesce(content, '')", "s"
     for i, form in enumerate(L.SHORT_FORMS):
         mark = f"chr(1) || chr({97 + i}) || chr(2)"
         c = f"regexp_replace({c}, {S.text('(?i)' + form.replace('.', chr(92) + '.'))}, {mark}, 'g')"
         r = f"replace({r}, {mark}, {S.text(form)})"
-    split = f"string_split(regexp_replace({c}, '([.!?])\\s+([A-Z])', '\\1' || chr(3) || '\\2', 'g'), chr(3))"
+    split = f"string_split(regexp_replace({c}, '([.!?])[{S.BLANK}]+([A-Z])', '\\1' || chr(3) || '\\2', 'g'), chr(3))"
     kept = f"list_transform(list_filter(list_transform({split}, lambda s: {S.strip('s')}), lambda s: s <> ''), lambda s: {r})"
     return f"select record_id, len(x)::bigint as n, md5(array_to_string(x, '|')) as joined from (select record_id, {kept} as x from doc_records)"
 
@@ -143,7 +143,7 @@ def sentence_windows(spark, d):
 
 
 QUERIES = {
-    "dedupe_exact": (dedupe_exact, f"select record_id, case when h is not null and record_id > min(record_id) over (partition by h) then min(record_id) over (partition by h) end as duplicate_of from (select record_id, case when trim({S.plain('content')}) <> '' then {S.normal(S.plain('content'))} end as h from doc_records)"),
+    "dedupe_exact": (dedupe_exact, f"select record_id, case when h is not null and record_id > min(record_id) over (partition by h) then min(record_id) over (partition by h) end as duplicate_of from (select record_id, case when trim(coalesce(content, '')) <> '' then {S.normal('content')} end as h from doc_records)"),
     "doi_matches": (doi_matches, "select record_id, first from (select record_id, min(record_id) over (partition by lower(trim(doi))) as first from doc_records where trim(doi) <> '') where record_id > first"),
     "title_dupes": (title_dupes, _TITLES),
     "chunk_dedupe": (chunk_dedupe, f"select chunk_id, doc_id, chunk_index from {_CHUNKS}"),

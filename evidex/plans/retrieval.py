@@ -136,12 +136,11 @@ def _postings(source: str, key: str, c: str) -> str:
 
 def legacy_sparse(spark, d):
     """Raw counts of ASCII words of the titles in two million buckets."""
-    rows = table(spark, d, "doc_records").select("record_id", text.plain(F.col("title")).alias("title"))
-    found = R.legacy_sparse(rows, "record_id", "title")
+    found = R.legacy_sparse(table(spark, d, "doc_records"), "record_id", "title")
     return found.select("record_id", F.col("idx").cast("bigint").alias("idx"), "weight")
 
 
-_LEGACY = f"select record_id, {S.bucket('term', L.LEGACY_BUCKETS)} as idx, count(*)::double as weight from (select record_id, unnest(regexp_extract_all(lower({S.plain('title')}), '[a-z0-9]{{2,}}')) as term from doc_records) group by 1, 2"
+_LEGACY = f"select record_id, {S.bucket('term', L.LEGACY_BUCKETS)} as idx, count(*)::double as weight from (select record_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{{2,}}')) as term from doc_records) group by 1, 2"
 
 
 def _vectors(spark, d):
@@ -278,7 +277,7 @@ def rerank_topk(spark, d, asked=questions):
     return R._best(scored, L.RERANK_TOP, "query_id").select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-_RERANK = f"""with h as (select query_id, id from ({_sparse_topk_sql(20)})), s as (select query_id, h.id, len(list_distinct(list_intersect({S.tokens('q.query')}, {S.tokens('substr(' + S.plain('content') + ', 1, 512)')})))::double as score
+_RERANK = f"""with h as (select query_id, id from ({_sparse_topk_sql(20)})), s as (select query_id, h.id, len(list_distinct(list_intersect({S.tokens('q.query')}, {S.tokens("substr(coalesce(content, ''), 1, 512)")})))::double as score
    from h join {_Q} using (query_id) join doc_records x on x.record_id = h.id)
  select query_id, id, score, row_number() over (partition by query_id order by score desc, id) - 1 as rank from s qualify rank < {L.RERANK_TOP}"""
 

@@ -13,8 +13,22 @@ def listed(words: list[str]) -> str:
     return "[" + ", ".join(map(text, words)) + "]"
 
 
+#: The blanks of Unicode, as the inside of a class.
+_WIDE = r"\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANK = r"\t-\r\x1c-\x20" + _WIDE
+
+
 def plain(c: str) -> str:
-    return f"regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', '~', 'g')"
+    """Outside ASCII blanks as a blank, letters and figures as ``_``, all else as ``~``, so that ASCII word boundaries are those of Unicode."""
+    return f"regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '[{_WIDE}]', ' ', 'g'), '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '~', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
+def title_norm(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_{BLANK}]', '', 'g'), '[{BLANK}]+', ' ', 'g'))"
+
+
+def word_count(c: str) -> str:
+    return f"len(regexp_extract_all(coalesce({c}, ''), '[^{BLANK}]+'))"
 
 
 def or_empty(c: str) -> str:
@@ -22,7 +36,7 @@ def or_empty(c: str) -> str:
 
 
 def strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({c}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
 
 
 def any_of(c: str, words: list[str]) -> str:
@@ -47,7 +61,7 @@ def present(c: str, words: list[str]) -> str:
 
 
 def normal(c: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower(coalesce({c}, '')), '[{BLANK}]+', ' ', 'g'))"
 
 
 def length_tokens(c: str) -> str:
