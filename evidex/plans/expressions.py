@@ -223,16 +223,18 @@ _CONTEXTUAL = f"""with r as (select doc_id, arg_max({{'source_type': source_type
 
 def format_table(spark, d):
     """Table chunks of bar-separated rows as lines of header and value, as hashes."""
-    from evidex.operators.chunking import table_text
+    from evidex.operators.chunking import pipe_table, table_text
 
     rows = F.transform(F.split(F.col("text"), r"\n"), lambda r: F.split(r, r"\|"))
-    found = chunks(spark, d, "chunk_type", "text").where("chunk_type = 'table' and text is not null")
-    return found.select("chunk_id", F.md5(table_text(rows, F.array(F.lit("Site"), F.lit("Drug")))).alias("formatted"))
+    found = chunks(spark, d, "chunk_type", "section_title", "text").where("chunk_type = 'table' and text is not null")
+    return found.select("chunk_id", F.md5(table_text(rows, F.array(F.lit("Site"), F.lit("Drug")), F.col("section_title"))).alias("formatted"), F.md5(pipe_table(rows)).alias("aligned"))
 
 
-_TABLES = """select chunk_id, md5(array_to_string(list_filter(list_transform(list_slice(string_split(text, chr(10)), 1, 20), lambda r: array_to_string(list_filter(list_transform(string_split(r, '|'), lambda v, i:
- case when trim(v) <> '' then case i when 1 then 'Site' when 2 then 'Drug' else 'Col' || i end || ': ' || trim(v) end), lambda x: x is not null), '; ')), lambda x: x <> ''), chr(10))) as formatted
- from """ + _CHUNKS + " where chunk_type = 'table' and text is not null"
+_TABLES = f"""with t as (select chunk_id, section_title, list_transform(string_split(text, chr(10)), lambda r: list_transform(string_split(r, '|'), lambda v: {S.strip('v')})) as r from {_CHUNKS} where chunk_type = 'table' and text is not null),
+ w as (select *, len(list_filter(flatten(r), lambda c: c <> '')) as filled, list_transform(range(1, list_max(list_transform(r, lambda x: len(x))) + 1), lambda i: greatest(4, list_max(list_transform(r, lambda x: length(coalesce(x[i], '')))))) as ws from t),
+ a as (select *, list_transform(r, lambda x: array_to_string(list_transform(ws, lambda n, i: rpad(coalesce(x[i], ''), n::int, ' ')), ' | ')) as lines from w)
+ select chunk_id, md5({S.strip("""array_to_string(list_filter(list_concat([trim(coalesce(section_title, ''))], list_transform(list_slice(r, 1, 20), lambda x: array_to_string(list_transform(x, lambda v, i: case i when 1 then 'Site' when 2 then 'Drug' else 'Col' || i end || ': ' || v), ' | '))), lambda x: x <> ''), chr(10))""")}) as formatted,
+  md5(case when len(r) < 2 or filled < 4 then '' else array_to_string(list_concat([lines[1], array_to_string(list_transform(ws, lambda n: repeat('-', n)), '-+-')], lines[2:]), chr(10)) end) as aligned from a"""
 
 
 def cosine(spark, d):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidex.functions import classify as C
+from evidex.functions import lexicons as L
 from evidex.functions import text
 from evidex.operators import chunking, merge
 from evidex.plans import sql as S
-from evidex.plans.expressions import _CHUNKS, chunks
+from evidex.plans.expressions import _CHUNKS, _DOCS, chunks, documents
 from evidex.runtime import table
 
 
@@ -103,7 +105,8 @@ def sections(spark, d):
     return chunking.sections(rows, "record_id", "content").select("record_id", F.col("section_index").cast("bigint").alias("section_index"), "title", F.length("text").cast("bigint").alias("n_chars"))
 
 
-_SECTIONS = f"""with l as (select record_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (select record_id, list_transform(regexp_split_to_array(coalesce(content, ''), '\\r\\n|\\n|\\r'), lambda s: {S.strip('s')}) as a from doc_records)),
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+_SECTIONS = f"""with l as (select record_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (select record_id, list_transform(regexp_split_to_array(coalesce(content, ''), {S.text(_LINE_END)}), lambda s: {S.strip('s')}) as a from doc_records)),
  h as (select *, regexp_matches(lower(line), '^(?:\\d+\\.\\s*)?(abstract|introduction|background|methods?|materials and methods|results|discussion|conclusion|conclusions)\\s*$') as head from l),
  s as (select *, sum(head::int) over (partition by record_id order by i) as n, lag(line) over (partition by record_id order by i) as before from h),
  t as (select record_id, n, coalesce(max(case when head then line end), 'Main') as title,
@@ -118,28 +121,69 @@ def sentences(spark, d):
 
 
 def _sentences_sql() -> str:
-    from evidex.functions import lexicons as L
+    return f"select record_id, len(x)::bigint as n, md5(array_to_string(x, '|')) as joined from (select record_id, {_split_sentences("coalesce(content, '')")} as x from doc_records)"
 
-    c, r = "coalesce(content, '')", "s"
+
+def chunk_documents(spark, d):
+    """Chunks made of the newest record of each document; its tags stand for MeSH terms and keywords."""
+    rows = documents(spark, d).select("doc_id", "record_id", "title", "content", "source_type", C.doc_type(F.col("t")).alias("doc_type"), F.col("specialty_tags").alias("mesh_terms"), F.col("condition_tags").alias("keywords"))
+    found = chunking.chunk_documents(merge.latest(rows, "doc_id", "record_id"))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "total_chunks", "char_count", "token_estimate")]
+    return found.select("doc_id", "chunk_id", "chunk_type", "section_title", "text", F.md5("contextual_text").alias("contextual"), *whole)
+
+
+def _split_sentences(c: str) -> str:
+    """List of the sentences of a text, short forms restored in lower case."""
+    r = "s"
     for i, form in enumerate(L.SHORT_FORMS):
         mark = f"chr(1) || chr({97 + i}) || chr(2)"
         c = f"regexp_replace({c}, {S.text('(?i)' + form.replace('.', chr(92) + '.'))}, {mark}, 'g')"
         r = f"replace({r}, {mark}, {S.text(form)})"
     split = f"string_split(regexp_replace({c}, '([.!?])[{S.BLANK}]+([A-Z])', '\\1' || chr(3) || '\\2', 'g'), chr(3))"
-    kept = f"list_transform(list_filter(list_transform({split}, lambda s: {S.strip('s')}), lambda s: s <> ''), lambda s: {r})"
-    return f"select record_id, len(x)::bigint as n, md5(array_to_string(x, '|')) as joined from (select record_id, {kept} as x from doc_records)"
-
-
-def chunk_documents(spark, d):
-    """Chunks made of the newest record of each document."""
-    docs = merge.latest(table(spark, d, "doc_records").select("doc_id", "record_id", "title", "content"), "doc_id", "record_id")
-    return chunking.chunk_documents(docs)
+    return f"list_transform(list_filter(list_transform({split}, lambda s: {S.strip('s')}), lambda s: s <> ''), lambda s: {r})"
+
+
+def _windows_sql(source: str) -> str:
+    """Recursive part: of ``source`` (k, s) the windows (k, w) of its sentence lists, as pairs of first and last position, one sentence a step."""
+    z = "greatest(1, length(s[i]) // 4)"
+    tail = "list_filter(range(lo, i + 1), lambda j: coalesce(list_sum(list_transform(s[j:i - 1], lambda x: greatest(1, length(x) // 4))), 0) <= 50)[1]"
+    held = "coalesce(list_sum(list_transform(s[t:i - 1], lambda x: greatest(1, length(x) // 4))), 0)"
+    return f"""f(k, s, i, lo, n, w) as (select k, s, 1::bigint, 1::bigint, 0::bigint, []::bigint[][] from {source} union all
+   select k, s, i + 1, case when n + z <= 500 then lo when lo < i then t else i + 1 end, case when n + z <= 500 then n + z when lo < i then {held} + z else 0 end,
+     case when n + z <= 500 then w when lo < i then list_append(w, [lo, i - 1]) else list_append(w, [i, i]) end
+   from (select *, {z} as z, {tail} as t from f where i <= len(s))),
+ win as (select k, s, case when lo <= len(s) then list_append(w, [lo, len(s)]) else w end as w from f where i = len(s) + 1)"""
+
+
+def _chunks_sql() -> str:
+    line = "^(?:\\d+\\.\\s*)?(abstract|introduction|background|methods?|materials and methods|results|discussion|conclusion|conclusions)\\s*$"
+    listed = lambda c, lead: f"case when len({c}) > 0 then '{lead}' || array_to_string({c}, ', ') else '' end"
+    clean = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: {S.strip('x')}), lambda x: x <> '')"
+    return f"""with recursive d as (select doc_id, arg_max({{'title': title, 'content': content, 'source': source_type, 'kind': {S.doc_type('t')}, 'mesh': {clean('specialty_tags')}, 'keys': {clean('condition_tags')}}}, record_id) as r from {_DOCS} group by doc_id),
+ l as (select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line from (select doc_id, list_transform(regexp_split_to_array(coalesce(r.content, ''), {S.text(_LINE_END)}), lambda s: {S.strip('s')}) as a from d)),
+ h as (select *, regexp_matches(lower(line), '{line}') as head from l),
+ b as (select *, sum(head::int) over (partition by doc_id order by i) as n, lag(line) over (partition by doc_id order by i) as before from h),
+ sec as (select doc_id, n, coalesce(max(case when head then line end), 'Main') as title, {S.strip("coalesce(string_agg(case when not head and (line <> '' or before <> '') then line end, chr(10) order by i), '')")} as text from b group by doc_id, n),
+ long as (select {{'d': doc_id, 'n': n}} as k, {_split_sentences('text')} as s from sec where length(text) // 4 > 350),
+ {_windows_sql('long')},
+ c as (select doc_id, -1 as n, 0 as j, 'doc_summary' as chunk_type, 'Document Summary' as section_title, array_to_string(list_filter([{S.strip("coalesce(r.title, '')")}, {listed('r.mesh', 'MeSH: ')}, {listed('r.keys', 'Keywords: ')}], lambda x: x <> ''), chr(10) || chr(10)) as text from d
+  union all select doc_id, n, 0, 'paragraph', title, text from sec where length(text) // 4 <= 350
+  union all select doc_id, n, j, 'paragraph', title, x from (select k.d as doc_id, k.n as n, unnest(range(len(w))) as j, unnest(list_transform(w, lambda y: {S.strip("array_to_string(s[y[1]:y[2]], ' ')")})) as x from win) join sec using (doc_id, n) where length(x) // 4 >= 80),
+ o as (select *, row_number() over (partition by doc_id order by n, j) - 1 as chunk_index, count(*) over (partition by doc_id) as total_chunks from c where text <> '')
+ select doc_id, doc_id || '_c' || chunk_index as chunk_id, chunk_index, total_chunks, chunk_type, section_title, text, length(text) as char_count, greatest(1, length(text) // 4) as token_estimate,
+  md5('Source: ' || coalesce(r.source, 'unknown') || chr(10) || 'Document type: ' || r.kind || chr(10) || 'Title: ' || coalesce(r.title, '') || chr(10) || 'Section: ' || section_title || chr(10) || chr(10) || text) as contextual
+ from o join d using (doc_id)"""
 
 
 def sentence_windows(spark, d):
     """Windows of the sentences of each content."""
     rows = table(spark, d, "doc_records").select("record_id", F.posexplode(chunking.sentence_windows(text.sentences(F.coalesce("content", F.lit(""))))).alias("window", "text"))
-    return rows.select("record_id", "window", "text", text.length_tokens(F.col("text")).alias("tokens"))
+    return rows.select("record_id", F.col("window").cast("bigint").alias("window"), "text", text.length_tokens(F.col("text")).cast("bigint").alias("tokens"))
+
+
+def _sentence_windows_sql() -> str:
+    return f"""with recursive r as (select record_id as k, {_split_sentences("coalesce(content, '')")} as s from doc_records), {_windows_sql('r')}
+ select k as record_id, j as "window", x as text, greatest(1, length(x) // 4) as tokens from (select k, unnest(range(len(w))) as j, unnest(list_transform(w, lambda y: array_to_string(s[y[1]:y[2]], ' '))) as x from win)"""
 
 
 QUERIES = {
@@ -155,6 +199,6 @@ QUERIES = {
     "chunk_metadata": (chunk_metadata, _META),
     "sections": (sections, _SECTIONS),
     "sentences": (sentences, _sentences_sql()),
-    "chunk_documents": (chunk_documents, None),
-    "sentence_windows": (sentence_windows, None),
+    "chunk_documents": (chunk_documents, _chunks_sql()),
+    "sentence_windows": (sentence_windows, _sentence_windows_sql()),
 }
