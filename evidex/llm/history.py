@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import xxhash
@@ -30,6 +31,8 @@ from evidex.runtime import materialize
 
 COVER = 0.25
 LEAST = 40
+#: The low bits of a paragraph's hash that hold its length.
+SIZES = (1 << 20) - 1
 #: A paragraph that more records than these probe is hot: its first holder is compared with all of them first.
 HOT = 256
 _CUT = re.compile(r"\n+|(?<=[.!?।؟])\s+|(?<=[。！？])|(?<=[฀-๿]) +(?=[฀-๿])")
@@ -47,8 +50,8 @@ def _hash_texts(least: int):
                 kept = {}
                 for part in _CUT.split(text):
                     if part := normalise(part):
-                        size = min(len(part), 4095)
-                        h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) & ~4095 | size
+                        size = min(len(part), SIZES)
+                        h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) & ~SIZES | size
                         kept[h - (1 << 64) if h >> 63 else h] = size
                 rows.append((i, at, digest, sum(kept.values()), list(kept)))
             yield pd.DataFrame(rows, columns=["id", "at", "digest", "total", "parts"])
@@ -59,8 +62,8 @@ def _hash_texts(least: int):
 def hashed(df: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, at, digest, total, parts) of the rows of ``df`` (id, at, text) that take part: known time, long enough.
 
-    ``digest`` is of the normalised text; ``parts`` are distinct paragraph hashes, whose low 12 bits
-    are the paragraph's length (longer ones count 4095); ``total`` is their length together.
+    ``digest`` is of the normalised text; ``parts`` are distinct paragraph hashes, whose low 20 bits
+    are the paragraph's length (one above a million characters counts as that); ``total`` is their length together.
     """
     fit = df.select("id", "at", "text").where(F.col("at").isNotNull() & (F.length("text") >= least))
     return fit.mapInPandas(_hash_texts(least), _HASHED)
@@ -68,10 +71,11 @@ def hashed(df: DataFrame, least: int = LEAST) -> DataFrame:
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """(id, at, total, h, size), a row per distinct paragraph."""
-    return rows.select("id", "at", "total", F.explode("parts").alias("h")).withColumn("size", F.col("h").bitwiseAND(F.lit(4095)))
+    return rows.select("id", "at", "total", F.explode("parts").alias("h")).withColumn("size", F.col("h").bitwiseAND(F.lit(SIZES)))
 
 
-_EARLIER = "old or at_b < at_a or (at_b = at_a and b < a)"
+#: A record is never its own partner, not even where an earlier attempt at its batch left rows of it.
+_EARLIER = "a <> b and (old or at_b < at_a or (at_b = at_a and b < a))"
 
 
 def _probes(new: DataFrame, common: DataFrame, cover: float) -> DataFrame:
@@ -90,7 +94,7 @@ def _probes(new: DataFrame, common: DataFrame, cover: float) -> DataFrame:
 def _measured(pairs: DataFrame, parts: DataFrame, cover: float) -> DataFrame:
     """(a, b) of ``pairs`` that share ``cover`` of the length of a's paragraphs, over all ``parts`` (id, total, parts) of both."""
     both = pairs.join(parts.select(F.col("id").alias("a"), "total", F.col("parts").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("parts").alias("pb")), "b")
-    shared = F.aggregate(F.array_intersect("pa", "pb"), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(4095)))
+    shared = F.aggregate(F.array_intersect("pa", "pb"), F.lit(0).cast("long"), lambda s, h: s + h.bitwiseAND(F.lit(SIZES)))
     return both.where(shared >= cover * F.col("total")).select("a", "b")
 
 
@@ -157,13 +161,14 @@ def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: floa
         met = materialize(met.withColumn("old", F.lit(True)), "met")
         seen = new.unionByName(met)
         parts = parts.unionByName(met.groupBy("id").agg(F.first("total").alias("total"), F.collect_list("h").alias("parts")))
-        texts = texts.unionByName(history.texts())
     common = materialize(seen.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
     probe = materialize(_probes(new, common, cover), "probes")
     held = seen.join(common, "h", "left_semi").select(F.col("id").alias("b"), F.col("at").alias("at_b"), "h", "old")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verified_pairs(materialize(pairs, "covered"), texts, minimum, width)
+        pairs = materialize(pairs, "covered")
+        old = [] if history is None else [history.texts(pairs.select(F.col("b").alias("id")))]
+        return verified_pairs(pairs, reduce(DataFrame.unionByName, old, texts), minimum, width)
 
     hot = materialize(probe.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
     settled = None
@@ -182,37 +187,86 @@ def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: floa
 class HistoryIndex:
     """What was accepted so far: text hashes, paragraph hashes and texts, in tables bucketed by their key.
 
-    A batch meets history by bucket-local semi-joins on the hashes; no accepted text is hashed again,
-    and only those of covered pairs are read. ``take`` returns the repeats of a batch and appends the
-    hashes of the rest, text hashes last: taking a batch again after a failure repeats nothing twice,
-    since paragraph and text rows count once for an id.
+    A batch meets history by bucket-local semi-joins on the hashes; no accepted text is hashed again.
+    Every table is partitioned by batch, and a batch's rows replace what an earlier attempt at it left,
+    so that no read has to remove repeats; a batch meets the rows of other batches alone. Of texts
+    only the batches with covered records are read. ``texts`` (id, text), where the accepted texts
+    are kept by the caller, spares a second copy of them.
     """
 
     _TABLES = {
         "digests": ("digest BINARY, id BIGINT", "digest"),
         "paragraphs": ("id BIGINT, at TIMESTAMP_NTZ, total BIGINT, h BIGINT, size BIGINT", "h"),
         "texts": ("id BIGINT, text STRING", "id"),
+        "repeats": ("id BIGINT", "id"),
+        "taken": ("id BIGINT", "id"),
     }
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self._name = spark, "accepted_" + "".join(c if c.isalnum() else "_" for c in path)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, texts: DataFrame | None = None):
+        self.spark, self._buckets, self._own = spark, buckets, texts
+        self._name = "accepted_" + "".join(c if c.isalnum() else "_" for c in path)
         for kind, (columns, key) in self._TABLES.items():
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_{kind} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{kind}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_{kind} ({columns}, batch STRING) USING parquet PARTITIONED BY (batch) CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{kind}'")
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
+            if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+                spark.sql(f"MSCK REPAIR TABLE {self._name}_{kind}")  # what another session took before
+        self._now = ""
+
+    def _table(self, kind: str) -> DataFrame:
+        return self.spark.table(f"{self._name}_{kind}")
+
+    def _others(self, kind: str) -> DataFrame:
+        return self._table(kind).where(F.col("batch") != self._now)
 
     def digests(self) -> DataFrame:
-        return self.spark.table(f"{self._name}_digests")
+        return self._others("digests").select("digest", "id")
 
     def paragraphs(self) -> DataFrame:
-        return self.spark.table(f"{self._name}_paragraphs").dropDuplicates(["h", "id"])
-
-    def texts(self) -> DataFrame:
-        return self.spark.table(f"{self._name}_texts").dropDuplicates(["id"])
-
-    def take(self, batch: DataFrame, **settings) -> DataFrame:
-        batch = batch.select(F.col("id").cast(T.LongType()), F.col("at").cast(T.TimestampNTZType()), "text")
-        found = materialize(repeats(batch, self, **settings), "repeats")
-        fresh = materialize(hashed(batch).join(found, "id", "left_anti"), "fresh")
-        batch.join(fresh, "id", "left_semi").select("id", "text").write.insertInto(f"{self._name}_texts")
-        paragraphs(fresh).select("id", "at", "total", "h", "size").write.insertInto(f"{self._name}_paragraphs")
-        fresh.select("digest", "id").write.insertInto(f"{self._name}_digests")
-        return found
+        return self._others("paragraphs").drop("batch")
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of accepted records, those of ``ids`` among them: only the batches that hold any are read."""
+        rows = self._others("digests").join(ids.distinct(), "id", "left_semi").select("id", "batch")
+        batches = [r[0] for r in rows.select("batch").distinct().collect()]  # at most one row per batch taken
+        if self._own is not None:
+            return self._own.join(rows.select("id"), "id", "left_semi").select("id", "text")
+        return self._table("texts").where(F.col("batch").isin(batches)).select("id", "text")
+
+    def _put(self, kind: str, rows: DataFrame) -> None:
+        """The rows of the batch at hand, one file per bucket, in place of what was there."""
+        columns, key = self._TABLES[kind]
+        rows = rows.select(*[c.split()[0] for c in columns.split(", ")]).repartition(self._buckets, key)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self._name}_{kind} PARTITION (batch = '{self._now}') SELECT * FROM {{rows}}", rows=rows)
+
+    def take(self, batch: DataFrame, name: str, **settings) -> DataFrame:
+        """(id) of the repeats in ``batch`` (id, at, text), whose other records are accepted from now on.
+
+        ``name`` (letters, digits, - and _) stands for the batch for good: taken once more, it gives the
+        first answer again; after a failure it is taken anew. The mark that it is done is written last.
+        """
+        if not re.fullmatch(r"[\w-]+", name):
+            raise ValueError("a batch is named by letters, digits, - and _")
+        if self._table("taken").where(F.col("batch") == name).isEmpty():
+            self._now = name
+            batch = batch.select(F.col("id").cast(T.LongType()), F.col("at").cast(T.TimestampNTZType()), "text")
+            found = materialize(repeats(batch, self, **settings), "repeats")
+            fresh = materialize(hashed(batch, settings.get("least", LEAST)).join(found, "id", "left_anti"), "fresh")
+            if self._own is None:
+                self._put("texts", batch.join(fresh, "id", "left_semi"))
+            self._put("paragraphs", paragraphs(fresh))
+            self._put("digests", fresh)
+            self._put("repeats", found)
+            self._put("taken", self.spark.range(1))
+            self._now = ""
+        return self._table("repeats").where(F.col("batch") == name).select("id")
+
+
+def repeats_by_batches(rows: DataFrame, index: HistoryIndex, bounds: list, **settings) -> DataFrame:
+    """(id) of the repeats among ``rows`` (id, at, text), taken by ``index`` in batches that end before each of ``bounds``, and the rest."""
+    found = []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        fit = F.col("at").isNotNull()
+        fit = fit if low is None else fit & (F.col("at") >= F.lit(low))
+        fit = fit if high is None else fit & (F.col("at") < F.lit(high))
+        found.append(index.take(rows.where(fit), f"until-{high:%Y%m%d%H%M%S}" if high else "rest", **settings))
+    return reduce(DataFrame.unionByName, found)

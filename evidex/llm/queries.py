@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.llm.bpe import encode_corpus
-from evidex.llm.history import repeats
+from evidex.llm.history import HistoryIndex, repeats_by_batches
 from evidex.llm.mixing import mix
 from evidex.llm.near_duplicates import expand_pairs, near_duplicate_groups, near_duplicates
 from evidex.llm.neighbours import nearest
@@ -14,7 +17,7 @@ from evidex.llm.scanned import findings, repaired
 from evidex.llm.sentences import sentence_ends
 from evidex.llm.splitting import split_oversized
 from evidex.llm.truncation import truncated, truncation_rates
-from evidex.runtime import table
+from evidex.runtime import shared_folder, table
 
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,10 +30,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return expand_pairs(pairs, members)
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that repeat an accepted earlier one, in order of ingestion."""
-    batches = table(spark, folder, "doc_records").select(F.col("record_id").alias("id"), F.col("ingested_at").alias("at"), F.col("content").alias("text"))
-    return repeats(batches).select(F.col("id").alias("record_id"))
+def p5_found(spark: SparkSession, folder: str, days: int = 2) -> DataFrame:
+    """Records that repeat an accepted earlier one, in order of ingestion.
+
+    The history index takes all but the last ``days`` days as its first batch, then each of these days.
+    """
+    rows = table(spark, folder, "doc_records").select(F.col("record_id").alias("id"), F.col("ingested_at").alias("at"), F.col("content").alias("text"))
+    last = rows.agg(F.date_trunc("day", F.max("at")).cast("timestamp_ntz")).first()[0]
+    bounds = [] if last is None else [last - timedelta(i) for i in reversed(range(days))]
+    index = HistoryIndex(spark, f"{shared_folder(spark)}/evidex/history-{uuid4().hex}", buckets=16, texts=rows.select("id", "text"))
+    return repeats_by_batches(rows, index, bounds).select(F.col("id").alias("record_id"))
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import shutil
 
 import pytest
 
@@ -78,9 +79,38 @@ def test_replay_and_daily_batches_agree_with_brute_force(spark, tmp_path):
     index, got = HistoryIndex(spark, str(tmp_path / "index"), 4), []
     for day in (1, 2, 3):
         batch = spark.createDataFrame([(i, times[i], t, 1) for i, t in rows.items() if times[i] and times[i].day == day], schema)
-        got += [r.id for r in index.take(batch).collect()]
+        got += [r.id for r in index.take(batch, f"day-{day}").collect()]
     assert sorted(got) == sorted(want)
-    assert index.take(batch).count() == len([i for i in _sets(rows) if times[i] and times[i].day == 3])
+    last = sorted(r.id for r in index.take(batch, "day-3").collect())
+    assert last == sorted(i for i in want if times[i].day == 3)  # taken again: the first answer
+    again = HistoryIndex(spark, str(tmp_path / "index"), 4)
+    assert sorted(r.id for r in again.take(batch, "day-3").collect()) == last
+    with pytest.raises(ValueError):
+        index.take(batch, "day 3")
+
+
+@pytest.mark.parametrize("lost", [["taken"], ["taken", "repeats", "digests"]])
+def test_a_batch_is_taken_again_after_a_crash(spark, tmp_path, lost):
+    rows = _texts()
+    times = {i: dt.datetime(2024, 1, 1 + i % 2, i % 24) for i in rows}
+    df = spark.createDataFrame([(i, times[i], t) for i, t in rows.items()], "id long, at timestamp_ntz, text string")
+    want = sorted(_replay(rows, times))
+    index = HistoryIndex(spark, str(tmp_path / "index"), 2, texts=df.select("id", "text"))
+    got = [r.id for r in index.take(df.where("day(at) = 1"), "a").collect()]
+    index.take(df.where("day(at) = 2"), "b")
+    for kind in lost:  # as if the run had ended before these were written
+        spark.sql(f"ALTER TABLE {index._name}_{kind} DROP PARTITION (batch = 'b') PURGE")
+    assert sorted(got + [r.id for r in index.take(df.where("day(at) = 2"), "b").collect()]) == want
+
+
+def test_history_edges(spark, tmp_path):
+    schema = "id long, at timestamp_ntz, text string"
+    index = HistoryIndex(spark, str(tmp_path / "index"), 2)
+    assert index.take(spark.createDataFrame([], schema), "none").count() == 0
+    long = "word " * 60_000  # one paragraph far above any usual length
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, at, long), (2, at, long + "end"), (3, None, long), (4, at, None), (5, at, "")], schema)
+    assert [r.id for r in index.take(df, "some").collect()] == [2]
 
 
 def test_a_hot_group_of_near_copies_is_settled_by_its_first_member(spark, monkeypatch):
