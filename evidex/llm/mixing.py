@@ -4,8 +4,9 @@ Each document gets a rate, the number of times it is used, that is as near to on
 relative entropy) as lets the tokens of each source meet its target: rate = min(cap, exp(l * tokens /
 mean)), one multiplier l per source. The convex dual is solved by Newton steps for all sources at
 once; a step needs two sums per source, taken over a histogram of the tokens of documents. Rates are
-then rounded to whole copies, the fraction decided by a hash of the document, so that the result is
-repeatable and within the cap.
+then rounded to whole copies by systematic sampling: documents of a source stand in order of their
+hash, each as long as the tokens its rate gives, and one that covers a mark, the marks a document's
+tokens apart, is used. What a source gets differs from its target by less than its largest document.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from evidex.llm.bpe import token_counts
 from evidex.runtime import materialize
 
 TOLERANCE, STEPS = 1e-9, 60
+#: Parts into which documents of one source and length are counted.
+BUCKETS = 1024
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -61,15 +65,41 @@ def _solve(histogram: DataFrame, aims: dict[str, tuple[float, int]], means: dict
     return at
 
 
+def _whole_copies(sized: DataFrame, rates: DataFrame, histogram: DataFrame) -> DataFrame:
+    """``sized`` (key, source, tokens) with rate and copies, rates being by source and tokens alone.
+
+    Systematic sampling of the fractions: documents stand by source and tokens, then by hash, and each
+    whose span of the running sum of fractions holds a half is used once more. As tokens rise along
+    that order, a source's tokens differ from those its rates give by less than its largest document.
+    The running sum is put together from the histogram, from counts of hash buckets within a length,
+    and from the places within a bucket, so that no task holds a whole source or length.
+    """
+    rate = F.when(F.col("tokens") == 0, 0.0).when(F.col("inner"), F.least(F.exp(F.col("l") * F.col("tokens") / F.col("mean")), "cap")).otherwise(F.col("cap"))
+    before = W.partitionBy("source").orderBy("tokens").rowsBetween(W.unboundedPreceding, -1)
+    lengths = histogram.join(F.broadcast(rates), "source").withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate"))
+    lengths = lengths.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("part")).over(before), F.lit(0.0))).drop("n", "l", "mean", "cap", "inner")
+    placed = sized.withColumn("hash", F.xxhash64("key")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
+    of = ["source", "tokens", "bucket"]
+    counts = placed.groupBy(*of).agg(F.count("*").alias("m"))
+    upto = W.partitionBy("source", "tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("skip", F.coalesce(F.sum("m").over(upto), F.lit(0))).drop("m")
+    placed = placed.withColumn("place", F.row_number().over(W.partitionBy(*of).orderBy("hash", "key")))
+    rows = placed.join(counts, of).join(lengths, ["source", "tokens"])
+    end = F.col("start") + (F.col("skip") + F.col("place")) * F.col("part") + 0.5
+    more = F.floor(end) - F.floor(end - F.col("part"))
+    return rows.select("key", "source", "tokens", "rate", (F.floor("rate") + more).cast("int").alias("copies"))
+
+
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies, report) of a mix as large as all ``documents`` (key, source, text) in tokens.
 
     ``copies`` (key, source, tokens, rate, copies) has a row per document of a source in ``targets``
     (source, target_weight, max_repeats), zero copies included. ``report`` has a row per target
     source: share wanted, documents, tokens, what it can give at most (capacity), whether that is
-    short of its share, tokens in the mix and the share reached. A source without documents has
-    none of all; null and empty texts have no tokens and get no copies; documents of other or null
-    sources count in the size alone. A source that falls short gives all it has.
+    short of its share, tokens in the mix, its share of all tokens, the share of the mix reached, and
+    the one attainable, which is above the target where other sources fall short. A source without
+    documents has none of all; null and empty texts have no tokens and get no copies; documents of
+    other or null sources count in the size alone. A source that falls short gives all it has.
     """
     spark = documents.sparkSession
     counted = token_counts(documents.select(F.struct(F.col(key).alias("key"), "source").alias("k"), F.col(text).alias("text")), "k")
@@ -88,15 +118,14 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     # sources at their limit: everything at the cap, or nothing at all
     settled = [(r["source"], found.get(r["source"], 0.0), means.get(r["source"], 1.0), float(r["cap"] if r["wanted"] > 0 else 0), r["source"] in inner) for r in rows]
     rates = spark.createDataFrame(settled, "source string, l double, mean double, cap double, inner boolean")
-    rate = F.when(F.col("tokens") == 0, 0.0).when(F.col("inner"), F.least(F.exp(F.col("l") * F.col("tokens") / F.col("mean")), "cap")).otherwise(F.col("cap"))
-    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20)
-    copies = sized.join(F.broadcast(rates), "source").withColumn("rate", rate)
-    copies = copies.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-    copies = copies.select(F.col("key").alias(key), "source", "tokens", "rate", "copies")
+    copies = _whole_copies(sized, rates, histogram).withColumnRenamed("key", key)
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
-    report = plan.join(got, "source", "left").fillna(0, ["mixed"]).crossJoin(F.broadcast(got.agg(F.sum("mixed").alias("all"))))
+    aim = F.least("wanted", F.col("capacity").cast("double"))
+    sums = plan.join(got, "source", "left").agg(F.sum(F.coalesce("mixed", F.lit(0))).alias("all"), F.sum(aim).alias("aims"))
+    report = plan.join(got, "source", "left").fillna(0, ["mixed"]).crossJoin(F.broadcast(sums))
+    of = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
     report = report.select(
         "source", "share", "documents", "tokens", "capacity", (F.col("capacity") < F.col("wanted")).alias("short"), "mixed",
-        F.when(F.col("all") > 0, F.col("mixed") / F.col("all")).otherwise(0.0).alias("reached"),
+        of(F.col("mixed"), F.lit(float(total))).alias("of_all"), of(F.col("mixed"), F.col("all")).alias("reached"), of(aim, F.col("aims")).alias("attainable"),
     )
     return copies, report

@@ -107,9 +107,10 @@ def test_history_edges(spark, tmp_path):
     schema = "id long, at timestamp_ntz, text string"
     index = HistoryIndex(spark, str(tmp_path / "index"), 2)
     assert index.take(spark.createDataFrame([], schema), "none").count() == 0
-    long = "word " * 60_000  # one paragraph far above any usual length
+    long = " ".join(f"w{i}" for i in range(60_000)) + ".\n"  # one paragraph far above any usual length
+    short = [" ".join(WORDS[i : i + 3]) + f" {i}.\n" for i in range(0, 300, 3)]
     at = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, at, long), (2, at, long + "end"), (3, None, long), (4, at, None), (5, at, "")], schema)
+    df = spark.createDataFrame([(1, at, long + "".join(short[:50])), (2, at, long + "".join(short[50:])), (3, None, long), (4, at, None), (5, at, "")], schema)
     assert [r.id for r in index.take(df, "some").collect()] == [2]
 
 
