@@ -118,3 +118,21 @@ def test_corpus_columns_nulls_and_round_trip(spark):
     back = {r.doc_id: r.text for r in bpe.decode_corpus(bpe.encode_corpus(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate([None, *SAMPLES])}
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_every_terminator_of_unicode_ends_a_sentence():
+    import regex
+
+    marks = regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    assert len(marks) > 150
+    assert [m for m in marks if ends(f"Abc def{m} Ghi jkl") != [8, 16]] == []
+    assert ends("ᱚᱞ ᱪᱤᱠᱤ᱾ ᱚᱞ ᱪᱤᱠᱤ᱾") == [8, 17]
+
+
+def test_abbreviations_are_those_of_the_language():
+    english = "The lesion of the skin was graded d. Then it was removed."
+    assert ends(english) == [36, len(english)]
+    german = "Das wird in der Regel u. a. mit Jod behandelt, z. B. bei der Struma."
+    assert ends(german) == [len(german)]
+    vitamin = "All of the patients were given vitamin D. Then they were seen by J. Smith."
+    assert ends(vitamin) == [41, len(vitamin)]
