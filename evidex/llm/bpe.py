@@ -1,19 +1,20 @@
 """Encoding with a public byte-level BPE vocabulary as a streaming transducer, and its decoder.
 
 The encoder takes text in pieces. A match of the split pattern is final once ``PEEK`` further
-characters were seen, so only the last match is held back. Inside a match the merge list's lookahead
-applies: the encoding of every prefix ends in one known token, any final encoding has a boundary
-among the last ``longest`` prefixes, ``longest`` being the bytes of the longest token; tokens that
-the encodings of all these prefixes share are stable and are emitted. Memory is a window of
-``longest`` prefixes and a bounded cache of short matches, whatever the length of the text.
+characters were seen, so only the last match is held back, and one above ``BLOCK`` characters goes
+on byte by byte. Inside a match the transducer knows for every prefix the one token its encoding ends
+in: the longest suffix that is a token, in agreement with the token before it. Its lookahead is
+computed from the merge list, as the bytes of the longest token the merges make: no token covers more,
+so that every encoding of what may follow has a boundary among the last so many prefixes, and tokens
+that the encodings of all these prefixes share are stable and are emitted. Memory is a window of as
+many prefixes and a bounded memo of short matches, whatever the length of the text.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
-import heapq
-from collections import deque
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 FOLDER = "/opt/tokenizers"
@@ -28,8 +30,8 @@ FOLDER = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PEEK = 3  # a contraction has three characters; a space run yields its last blank to what follows
 BLOCK = 1 << 16
-#: Matches of up to so many bytes are merged at once and kept; longer ones are streamed.
-SHORT = 512
+#: The encodings of matches of up to so many bytes are kept for the next time.
+SHORT = 64
 CACHED = 400_000
 
 
@@ -40,56 +42,40 @@ class Vocabulary:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(PATTERN)
-        self.fits = lru_cache(1 << 16)(self._fits)
+        self.fits = lru_cache(1 << 18)(self._fits)
+        self.made = lru_cache(None)(self._made)
+        self.longest = self.lookahead()
         self.known: dict[str, tuple[int, ...]] = _Short(self)
 
-    def merge(self, data: bytes) -> list[int]:
-        """The merges in order of rank, leftmost first, over a linked list of parts with a heap of pairs."""
+    def lookahead(self) -> int:
+        """Bytes after which a token cannot change any more: those of the longest token the merge list makes."""
+        return next(len(t) for t in sorted(self.ranks, key=len, reverse=True) if self.made(self.ranks[t]))
+
+    def merge_parts(self, data: bytes) -> list[bytes]:
+        """The merges in order of rank, leftmost first, over a token or a pair of tokens."""
         ranks = self.ranks
-        whole = ranks.get(data)
-        if whole is not None:
-            return [whole]
-        n = len(data)
-        if n < 24:
-            parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
-                least = min(pairs)
-                if least == 1 << 30:
-                    break
-                at = pairs.index(least)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return [ranks[p] for p in parts]
-        end = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i]
-            if j < 0 or j >= n or end[j] != stop:
-                continue  # one of the two parts has changed since
-            end[i], end[j] = stop, -1
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(data[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if i and (r := ranks.get(data[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[data[i : end[i]]])
-            i = end[i]
-        return out
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
+            least = min(pairs)
+            if least == 1 << 30:
+                break
+            at = pairs.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _made(self, token: int) -> bool:
+        """Whether the merges do make a token; a rank file may hold others, which never come out."""
+        return len(self.tokens[token]) == 1 or self.merge_parts(self.tokens[token]) == [self.tokens[token]]
 
     def _fits(self, a: int, b: int) -> bool:
-        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+        """Whether two tokens may stand side by side: their bytes together give them again."""
+        return self.merge_parts(self.tokens[a] + self.tokens[b]) == [self.tokens[a], self.tokens[b]]
 
 
 class _Short(dict):
-    """Encodings of short matches met before; emptied when full."""
+    """Memo of the transducer's results for short matches; emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -97,50 +83,87 @@ class _Short(dict):
 
     def __missing__(self, match: str) -> tuple[int, ...]:
         data = match.encode("utf-8", "surrogatepass")
-        if len(data) > SHORT:
-            return tuple(stream_match(self.vocabulary, data))
-        if len(self) >= CACHED:
-            self.clear()
-        self[match] = ids = tuple(self.vocabulary.merge(data))
+        ids = tuple(stream_match(self.vocabulary, data))
+        if len(data) <= SHORT:
+            if len(self) >= CACHED:
+                self.clear()
+            self[match] = ids
         return ids
 
 
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """That of a file, which a worker takes from the session's files where it has none at the path."""
+    return Vocabulary(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
 
+def _shipped(df: DataFrame, path: str) -> str:
+    """The path of a vocabulary, whose file the session then has for workers on other machines."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local") and os.path.exists(path):
+        context.addFile(path)
+    return path
 
-def stream_match(voc: Vocabulary, data: Iterable[int]) -> Iterator[int]:
+
+class Transducer:
     """Tokens of one match, byte by byte, each as soon as no continuation can change it."""
-    ranks, longest = voc.ranks, voc.longest
-    window = b""  # the last bytes, from position ``base`` on
-    base = at = emitted = 0  # positions are byte counts from the start of the match
-    last: dict[int, tuple[int, int]] = {}  # position -> (token that ends there, where it begins)
-    for byte in data:
-        window += bytes((byte,))
-        at += 1
-        for begin in range(max(emitted, at - longest), at):
-            token = ranks.get(window[begin - base :])
-            if token is None or len(voc.merge(voc.tokens[token])) != 1:
-                continue
-            if begin == 0 or (begin in last and voc.fits(last[begin][0], token)):
-                last[at] = (token, begin)
-                break
-        if at - emitted >= 4 * longest:
-            # boundaries that some prefix ending in the window still leads back to
-            live = [p for p in range(at - longest + 1, at + 1) if p in last]
-            paths = set(live)
-            while len(paths) > 1:
-                far = max(paths)
-                paths.discard(far)
-                paths.add(last[far][1])
-            stable = paths.pop() if paths else emitted
-            if stable > emitted:
-                yield from _walk(last, emitted, stable)
-                last = {p: v for p, v in last.items() if p >= stable}
-                emitted = stable
-                window, base = window[max(0, emitted - longest - base) :], max(base, emitted - longest)
-    yield from _walk(last, emitted, at)
+
+    def __init__(self, voc: Vocabulary):
+        self.voc = voc
+        self.window, self.base = b"", 0  # the last bytes, from position ``base`` on
+        self.at = self.emitted = 0  # positions are byte counts from the start of the match
+        self.last: dict[int, tuple[int, int]] = {}  # position -> (token that ends there, where it begins)
+
+    def push(self, data: bytes) -> list[int]:
+        """Takes further bytes; gives the tokens that became stable."""
+        out: list[int] = []
+        ranks, made, fits, longest = self.voc.ranks, self.voc.made, self.voc.fits, self.voc.longest
+        for start in range(0, len(data), longest):
+            part = data[start : start + longest]
+            self.window += part
+            for at in range(self.at + 1, self.at + len(part) + 1):
+                stop = at - self.base
+                for begin in range(max(self.emitted, at - longest), at):
+                    token = ranks.get(self.window[begin - self.base : stop])
+                    if token is None or not made(token):
+                        continue
+                    if begin == 0 or (begin in self.last and fits(self.last[begin][0], token)):
+                        self.last[at] = (token, begin)
+                        break
+            self.at += len(part)
+            if self.at - self.emitted >= 4 * longest:
+                out += self._stable()
+        return out
+
+    def _stable(self) -> list[int]:
+        """The tokens before the point that every prefix ending within the lookahead leads back to."""
+        last = self.last
+        paths = {p for p in range(self.at - self.voc.longest + 1, self.at + 1) if p in last}
+        while len(paths) > 1:
+            far = max(paths)
+            paths.discard(far)
+            paths.add(last[far][1])
+        stable = paths.pop() if paths else self.emitted
+        if stable <= self.emitted:
+            return []
+        out = _walk(last, self.emitted, stable)
+        self.last = {p: v for p, v in last.items() if p >= stable}
+        self.emitted = stable
+        cut = max(self.base, stable - self.voc.longest)
+        self.window, self.base = self.window[cut - self.base :], cut
+        return out
+
+    def finish(self) -> list[int]:
+        return _walk(self.last, self.emitted, self.at)
+
+
+def stream_match(voc: Vocabulary, data: bytes) -> list[int]:
+    """Tokens of one match, by the transducer."""
+    one = voc.ranks.get(data)
+    if one is not None and voc.made(one):
+        return [one]
+    t = Transducer(voc)
+    return t.push(data) + t.finish()
 
 
 def _walk(last: dict[int, tuple[int, int]], start: int, stop: int) -> list[int]:
@@ -151,21 +174,58 @@ def _walk(last: dict[int, tuple[int, int]], start: int, stop: int) -> list[int]:
     return out[::-1]
 
 
+#: What goes on with a match of letters, of figures, of other signs, of blanks.
+_KINDS = tuple(map(regex.compile, (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")))
+
+
 def encode_stream(voc: Vocabulary, pieces: Iterable[str]) -> Iterator[list[int]]:
     """Ids of the text that ``pieces`` make up, in lists as they become stable."""
     held = ""
+    open_: tuple[Transducer, regex.Pattern] | None = None  # a match longer than a block, and what goes on with it
     for piece in pieces:
         held += piece
         if len(held) < BLOCK:
             continue
-        done, out = 0, []
-        for m in voc.pattern.finditer(held):
-            if m.end() > len(held) - PEEK:
+        out: list[int] = []
+        while len(held) > PEEK:
+            if open_ is not None:
+                t, kind = open_
+                same = kind.match(held)
+                # of blanks the last is left to what follows
+                stop = min(same.end() if same else 0, len(held) - PEEK) if kind is not _KINDS[3] else max(0, min((same.end() if same else 0), len(held) - PEEK) - 1)
+                out += t.push(held[:stop].encode("utf-8", "surrogatepass"))
+                ended = same is None or same.end() <= len(held) - PEEK
+                held = held[stop:]
+                if not ended:
+                    break
+                out += t.finish()
+                open_ = None
+                continue
+            done, found = 0, []
+            for m in voc.pattern.finditer(held):
+                if m.end() > len(held) - PEEK:
+                    break
+                found.append(m.group())
+                done = m.end()
+            out += chain.from_iterable(map(voc.known.__getitem__, found))
+            held = held[done:]
+            # the rest begins with a match that ends within PEEK of its end; a long one goes on byte by byte
+            if len(held) < max(BLOCK // 2, 16 * PEEK):
                 break
-            out.append(m.group())
-            done = m.end()
-        held = held[done:]
-        yield list(chain.from_iterable(map(voc.known.__getitem__, out)))
+            kind = next(k for k in _KINDS if k.match(held[-PEEK - 1]))
+            open_ = Transducer(voc), kind
+            lead = 0 if kind.match(held) else 1  # the blank before a word
+            out += open_[0].push(held[:lead].encode())
+            held = held[lead:]
+        yield out
+    if open_ is not None:
+        t, kind = open_
+        same = kind.match(held)
+        stop = same.end() if same else 0
+        if kind is _KINDS[3] and stop < len(held):
+            stop = max(0, stop - 1)
+        yield t.push(held[:stop].encode("utf-8", "surrogatepass")) + t.finish()
+        held = held[stop:]
     yield list(chain.from_iterable(map(voc.known.__getitem__, voc.pattern.findall(held))))
 
 
@@ -216,20 +276,20 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", name:
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, df[text].alias("text"))
-    return rows.mapInArrow(_encode_batches(f"{folder}/{name}.tiktoken", key, False), f"{key} {kind}, ids array<int>")
+    return rows.mapInArrow(_encode_batches(_shipped(df, f"{folder}/{name}.tiktoken"), key, False), f"{key} {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str, text: str = "text", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, tokens): the number of ids of every row, as encode_corpus gives them, without shipping the ids."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, df[text].alias("text"))
-    return rows.mapInArrow(_encode_batches(f"{folder}/{name}.tiktoken", key, True), f"{key} {kind}, tokens bigint")
+    return rows.mapInArrow(_encode_batches(_shipped(df, f"{folder}/{name}.tiktoken"), key, True), f"{key} {kind}, tokens bigint")
 
 
 def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, text) of the ids; empty and null lists give empty text."""
     kind = df.schema[key].dataType.simpleString()
-    path = f"{folder}/{name}.tiktoken"
+    path = _shipped(df, f"{folder}/{name}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)

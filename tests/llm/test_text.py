@@ -102,11 +102,25 @@ def test_stream_in_small_pieces_gives_the_same(library, monkeypatch):
     assert [i for ids in bpe.encode_stream(VOC, parts) for i in ids] == library(text)
 
 
+@pytest.mark.parametrize("text", ["a" * 3000, " " * 5000 + "x", "x" + " " * 4500, "ab " + "1" * 4000 + " c", "." * 4200 + "it's", " " * 4093 + "'s", "w" * 4094 + "'ll go", " " + "b" * 4092 + "     " + "c" * 4500, "あ" * 4500 + "x" * 4500 + "\t" * 4500])
+def test_matches_longer_than_a_block_go_on_byte_by_byte(library, monkeypatch, text):
+    monkeypatch.setattr(bpe, "BLOCK", 1024)
+    assert bpe.encode(VOC, text) == library(text)
+
+
+def test_no_more_is_held_than_the_lookahead_allows():
+    t, sent = bpe.Transducer(VOC), []
+    for _ in range(200):
+        sent += t.push(b"abracadabra simsalabim"[:11] * 10)
+        assert len(t.window) < 8 * VOC.longest and len(t.last) < 8 * VOC.longest
+    assert b"".join(VOC.tokens[i] for i in sent + t.finish()) == b"abracadabra" * 2000
+
+
 def test_long_matches_are_streamed_exactly():
     rnd = random.Random(5)
     for alphabet in ("ab", "theingand", "中国人的一是", "éàüß"):
         data = "".join(rnd.choices(alphabet, k=1500)).encode()
-        assert list(bpe.stream_match(VOC, data)) == VOC.merge(data)
+        assert [VOC.tokens[i] for i in bpe.stream_match(VOC, data)] == VOC.merge_parts(data)
 
 
 def test_corpus_columns_nulls_and_round_trip(spark):
