@@ -21,29 +21,31 @@ SHORT = "Dr Prof Sra Sr Dra Mme Pr Abb Tab Fig Vgl env aprox Approx al vs bzw ca
 MARKS = r"(?:…|\[\.\.\.\]|\[…\]|�|(?<!\.)\.\.\.)"
 #: Rests of markup behind the last words.
 MARKUP = r"(?:</?[A-Za-z][^<>]{0,20}>?|&[a-z#]{0,6};?)"
+#: What the last characters of a text hold where one of these ends it.
+FOLLOWS = r"[…\]�<&]|\.\.\."
 BLANKS = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u3000\ufeff"
+#: The last words are looked for in so many characters first, and in the whole text where these hold too few.
 TAIL = 400
 THAI = r"[\x{0e01}-\x{0e4e}]"
 END = (
     r"[!?。！？।؟]+[\x{22}”»“’)」』]*"
     r"|\.(?<!(?<![\p{L}\p{N}-])(?:" + "|".join(SHORT) + r"|\p{Lu})\.)[\x{22}”»“’)」』]*(?=\s+[^\p{Ll}\p{N}(]|\s*$)"
-    r"|[\r\n]+| +(?<=" + THAI + r" {1,9})(?=" + THAI + ")"
+    r"|[\r\n]+| +(?=" + THAI + ")(?<=" + THAI + " {1,9})"
 )
-WORD = r"[\x{0e01}-\x{0e4e}\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]\p{M}*|0|[\p{L}\p{M}\p{N}]+(?:[-''’.,][\p{L}\p{M}\p{N}]+)*|[)\],|]"
+WORD = r"[\x{0e01}-\x{0e4e}\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]\p{M}*|0|[a-zA-Z0-9\p{L}\p{M}\p{N}]+(?:[-''’.,][a-zA-Z0-9\p{L}\p{M}\p{N}]+)*|[)\],|]"
 #: A text is cut if its end is final with at most this probability; of a line of another kind, ODD_LIMIT.
 LIMIT, ODD_LIMIT = 0.012, 0.0015
 #: Probability that a word seen nowhere else is a whole last word.
 UNSEEN = 0.001
 
 # lateral views of one row keep an expression that is used several times from being evaluated each time;
-# what follows a cut is looked for in the last TAIL characters
+# what follows a cut ends with a sign that its last characters show, so that few texts are searched for it
 _BODIES = """
-select doc_id, source, body, body rlike '[!?。！？।؟.]["”»“’)」』]*$' as closed, length(stripped) > length(body) and stripped_tail rlike concat(:marks, '$') as marked
+select doc_id, source, body, xxhash64(body) as digest, body rlike '[!?。！？।؟.]["”»“’)」』]*$' as closed, length(stripped) > length(body) and right(stripped, 40) rlike concat(:marks, '$') as marked
 from (select doc_id, source, trim(trailing :blanks from text) as s from {documents} where text is not null)
   lateral view explode(array(s)) x as stripped
-  lateral view explode(array(right(stripped, :tail))) y as stripped_tail
-  lateral view explode(array(trim(trailing :blanks from concat(left(stripped, greatest(length(stripped) - :tail, 0)),
-    regexp_replace(stripped_tail, concat('(?:[', :blanks, ']*(?:', :marks, '|', :markup, '))+$'), ''))))) z as body
+  lateral view explode(array(if(right(stripped, 30) rlike :follows,
+    trim(trailing :blanks from regexp_replace(stripped, concat('(?:[', :blanks, ']*(?:', :marks, '|', :markup, '))+$'), '')), stripped))) z as body
 where body <> ''"""
 
 # the words of a text: digits alike, every end of a sentence or line as one sign
@@ -51,11 +53,12 @@ _WORDS = """transform(regexp_extract_all(regexp_replace({text}, '[0-9０-９]+(?
   x -> if(substring(x, 1, 1) in ('.', '!', '?', '。', '！', '？', '।', '؟', ' ', '\\n', '\\r'), '.', lower(x)))"""
 
 _ENDS = """
-select doc_id, marked, first, copies, w[n - 1] as last, if(n > 1, w[n - 2], '') as u, xxhash64(1, w[n - 1]) as h1,
+select doc_id, marked, first, digest, w[n - 1] as last, if(n > 1, w[n - 2], '') as u, xxhash64(1, w[n - 1]) as h1,
        xxhash64(2, if(n > 1, w[n - 2], ''), w[n - 1]) as h2, xxhash64(3, if(n > 2, w[n - 3], ''), if(n > 1, w[n - 2], ''), w[n - 1]) as h3, xxhash64(1, if(n > 1, w[n - 2], '')) as hu
 from (select *, size(w) as n from (
-  select doc_id, marked, """ + _WORDS.format(text="right(body, :tail)") + """ as ws, lower(regexp_extract(substring_index(replace(body, '\\r', '\\n'), '\\n', -1), :opener, 1)) as first,
-         count(*) over (partition by xxhash64(body), length(body)) as copies from {bodies} where not closed or right(body, 40) rlike :short) lateral view explode(array(ws)) x as w)
+  select doc_id, marked, """ + _WORDS.format(text="right(body, :tail)") + """ as ts, body, digest, lower(regexp_extract(substring_index(replace(body, '\\r', '\\n'), '\\n', -1), :opener, 1)) as first
+  from {bodies} where not closed or right(trim(trailing '"”»“’)」』' from body), 40) rlike :short) lateral view explode(array(ts)) y as us
+  lateral view explode(array(if(size(us) > 3 or length(body) <= :tail, us, """ + _WORDS.format(text="body") + """))) x as w)
 where n > 0 and w[n - 1] <> '.'"""
 
 _OPENERS = """
@@ -73,11 +76,14 @@ from (select stack(3, xxhash64(1, t), coalesce(nx = '.', odd), xxhash64(nx), xxh
             from (select """ + _WORDS.format(text="body") + """ as ws, o.first is not null as odd
                   from (select body, lower(regexp_extract(substring_index(replace(body, '\\r', '\\n'), '\\n', -1), :opener, 1)) as first from {bodies}) b
                   left join {openers} o on b.first = o.first) lateral view explode(array(ws)) x as w
-            where size(w) > 0)
+            where size(w) > 0) left semi join {keys} k on xxhash64(1, t) = k.h
       where t <> '.') g
 left semi join {keys} k on g.h = k.h
 group by g.h"""
 
+# copies of a text are counted by aggregation, so that no task holds them all
+_COPIES = "select digest, count(*) as copies from {bodies} left semi join {ends} using (digest) group by digest"
+
 _KEYS = "select distinct explode(array(h1, h2, h3, hu)) as h from {ends}"
 
 # counts without the text's own copies; p1 to p3: final with this probability, by word, pair and trigram
@@ -91,7 +97,7 @@ from (select e.doc_id, e.marked, o.first is not null as odd,
              greatest(coalesce(c2.n, 0) - copies, 0) as n2, coalesce(c2.t, 0) - if(o.first is null, 0, copies) as t2,
              greatest(coalesce(c3.n, 0) - copies, 0) as n3, coalesce(c3.t, 0) - if(o.first is null, 0, copies) as t3,
              coalesce(cu.ways, 0) as ways, coalesce(cu.n, 0) as known
-      from {ends} e left join {openers} o on e.first = o.first
+      from (select e.*, d.copies from {ends} e join {copies} d on e.digest = d.digest) e left join {openers} o on e.first = o.first
       left join {counts} c1 on e.h1 = c1.h left join {counts} c2 on e.h2 = c2.h
       left join {counts} c3 on e.h3 = c3.h left join {counts} cu on e.hu = cu.h)))"""
 
@@ -108,7 +114,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    settings = {"marks": MARKS, "markup": MARKUP, "blanks": BLANKS, "tail": TAIL, "end": END, "word": WORD, "short": r"(?<![\p{L}\p{N}-])(?:" + "|".join(SHORT) + r"|\p{Lu})\.[\x{22}”»“’)」』]*$", "opener": r"^[^\p{L}\p{N}|]*([\p{L}\p{N}]+|\|)"}
+    settings = {"marks": MARKS, "markup": MARKUP, "blanks": BLANKS, "tail": TAIL, "end": END, "word": WORD, "short": r"(?<![\p{L}\p{N}-])(?:" + "|".join(SHORT) + r"|\p{Lu})\.$", "follows": FOLLOWS, "opener": r"^[^\p{L}\p{N}|]*([\p{L}\p{N}]+|\|)"}
 
     def sql(query: str, name: str, write: bool = True, more: dict | None = None, **views: DataFrame) -> DataFrame:
         used = {k: v for k, v in {**settings, **(more or {})}.items() if f":{k}" in query}
@@ -118,10 +124,11 @@ def truncated(documents: DataFrame) -> DataFrame:
     rows = parallel(documents.select("doc_id", "source", "text"))
     bodies = sql(_BODIES, "bodies", documents=rows)
     ends = sql(_ENDS, "ends", bodies=bodies)
+    copies = sql(_COPIES, "copies", bodies=bodies, ends=ends)
     openers = sql(_OPENERS, "openers", bodies=bodies)
     keys = sql(_KEYS, "keys", ends=ends)
     counts = sql(_COUNTS, "counts", bodies=bodies, openers=openers, keys=keys)
-    scores = sql(_SCORES, "scores", False, {"unseen": UNSEEN}, ends=ends, openers=openers, counts=counts)
+    scores = sql(_SCORES, "scores", False, {"unseen": UNSEEN}, ends=ends, copies=copies, openers=openers, counts=counts)
     return sql(_CUT, "cut", False, {"limit": LIMIT, "odd_limit": ODD_LIMIT}, scores=scores)
 
 
