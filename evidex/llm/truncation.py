@@ -41,7 +41,7 @@ UNSEEN = 0.001
 # lateral views of one row keep an expression that is used several times from being evaluated each time;
 # what follows a cut ends with a sign that its last characters show, so that few texts are searched for it
 _BODIES = """
-select doc_id, source, body, xxhash64(body) as digest, body rlike '[!?。！？।؟.]["”»“’)」』]*$' as closed, length(stripped) > length(body) and right(stripped, 40) rlike concat(:marks, '$') as marked
+select doc_id, source, body, xxhash64(body) as digest, right(trim(trailing '"”»“’)」』' from body), 1) in ('.', '!', '?', '。', '！', '？', '।', '؟') as closed, length(stripped) > length(body) and right(stripped, 40) rlike concat(:marks, '$') as marked
 from (select doc_id, source, trim(trailing :blanks from text) as s from {documents} where text is not null)
   lateral view explode(array(s)) x as stripped
   lateral view explode(array(if(right(stripped, 30) rlike :follows,
@@ -49,7 +49,7 @@ from (select doc_id, source, trim(trailing :blanks from text) as s from {documen
 where body <> ''"""
 
 # the words of a text: digits alike, every end of a sentence or line as one sign
-_WORDS = """transform(regexp_extract_all(regexp_replace({text}, '[0-9０-９]+(?:[.,][0-9]+)*', '0'), concat('(?:', :end, ')|(?:', :word, ')'), 0),
+_WORDS = """transform(regexp_extract_all(regexp_replace({text}, '[0-9０-９]+(?:[.,][0-9]+)*', '0'), concat('(?:', :word, ')|(?:', :end, ')'), 0),
   x -> if(substring(x, 1, 1) in ('.', '!', '?', '。', '！', '？', '।', '؟', ' ', '\\n', '\\r'), '.', lower(x)))"""
 
 _ENDS = """
@@ -62,10 +62,11 @@ from (select *, size(w) as n from (
 where n > 0 and w[n - 1] <> '.'"""
 
 _OPENERS = """
-select first, count(*) as lines, count_if(not line rlike '[.!?。！？।؟:]["”»“’)」』]*\\\\s*$') as bare
-from (select line, lower(regexp_extract(line, :opener, 1)) as first from (select explode(split(body, '[\\\\r\\\\n]+')) as line from {bodies}))
+select first, count(*) as lines, count_if(bare) as bare
+from (select lower(regexp_extract(line, :opener, 1)) as first, right(trim(trailing '"”»“’)」』' from trim(trailing ' \\t' from line)), 1) not in ('.', '!', '?', '。', '！', '？', '।', '؟', ':') as bare
+  from (select explode(split(body, '[\\\\r\\\\n]+')) as line from {bodies}))
 where first <> '' and not first rlike '^[0-9]'
-group by first having count(*) >= 4 and count_if(not line rlike '[.!?。！？।؟:]["”»“’)」』]*\\\\s*$') > 0.5 * count(*)"""
+group by first having count(*) >= 4 and count_if(bare) > 0.5 * count(*)"""
 
 _COUNTS = """
 select g.h, count(*) as n, count_if(g.final) as t, approx_count_distinct(g.next) as ways
