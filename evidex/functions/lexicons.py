@@ -197,3 +197,6 @@ HEADER = r"^(?:\d+\.\s*)?(abstract|introduction|background|methods?|materials an
 TARGET_TOKENS, MOST_TOKENS, LEAST_TOKENS, OVERLAP_TOKENS, TABLES_MOST, ROWS_MOST = 350, 500, 80, 50, 20, 20
 SHORT_FORMS = ["et al.", "fig.", "e.g.", "i.e.", "vs.", "p.o.", "i.v."]
 RRF_K, FUSED_TOP, HITS_TOP, RERANK_TOP, MMR_TOP, MMR_LAMBDA, CONTEXT_CHARS = 60, 20, 50, 8, 6, 0.7, 12_000
+
+#: Hits a synthesis is given, and citations it lists.
+SYNTHESIS_MOST, CITED_MOST = 20, 10

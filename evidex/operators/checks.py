@@ -79,12 +79,12 @@ def flag_weight(sentence: Column, names: Column, missing: Column, similarity: Co
 
 
 def citation_issues(source: Column, level: Column, year: Column, now: Column, known: Column) -> Column:
-    """Array of (issue, severity) of a citation."""
+    """Array of (issue, severity) of a citation; of one that is not found nothing else is said."""
     made = lambda kind, severity: F.struct(F.lit(kind).alias("issue"), F.lit(severity).alias("severity"))
     found = F.array(
         F.when(~known, made("NOT_FOUND", "HIGH")),
         F.when(known & (now - year > L.OLD_YEARS), made("OUTDATED", "LOW")),
-        F.when(~F.coalesce(source, F.lit("")).isin(list(L.TRUSTED)), made("UNTRUSTED_SOURCE", "MEDIUM")),
-        F.when(F.coalesce(level, F.lit(3)) > 3, made("LOW_EVIDENCE", "LOW")),
+        F.when(known & ~F.lower(F.coalesce(source, F.lit(""))).isin(list(L.TRUSTED)), made("UNTRUSTED_SOURCE", "MEDIUM")),
+        F.when(known & (F.coalesce(level, F.lit(3)) > 3), made("LOW_EVIDENCE", "LOW")),
     )
     return F.filter(found, lambda i: i.isNotNull())

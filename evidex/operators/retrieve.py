@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -43,6 +43,21 @@ def _best(hits: DataFrame, k: int, *keys: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def first_ranks(rows: DataFrame, k: int, keys, *order) -> DataFrame:
+    """The first k rows of each of ``keys`` by ``order``, with their rank from 0."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("rank") < k)
+
+
+def rerank(queries: DataFrame, hits: DataFrame, score: Callable[[Column, Column], Column], top: int = L.RERANK_TOP) -> DataFrame:
+    """``hits`` (query_id, id, text, rank, ...) in the order of ``score`` (query, the first 512 characters of a text), the best ``top``.
+
+    Where the model gives no score for any hit of a query, their order stays; ties go by the former rank.
+    """
+    rows = hits.join(queries.select("query_id", "query"), "query_id")
+    rows = rows.withColumn("rerank_score", score(F.col("query"), F.substring(F.coalesce("text", F.lit("")), 1, 512))).withColumnRenamed("rank", "_rank").drop("query")
+    return first_ranks(rows, top, ["query_id"], F.col("rerank_score").desc_nulls_last(), "_rank").drop("_rank")
+
+
 def _block_scores(names: list, matrix: np.ndarray, k: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

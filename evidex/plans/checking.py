@@ -12,13 +12,13 @@ from pyspark.sql.window import Window as W
 from evidex.functions import classify as C
 from evidex.functions import lexicons as L
 from evidex.functions import scoring, text
-from evidex.operators import checks, monitoring, understand
+from evidex.operators import answers, checks, monitoring, understand
 from evidex.operators import retrieve as R
 from evidex.plans import sql as S
 from evidex.operators.validate import validate_documents
 from evidex.plans.expressions import _CHUNKS, _DOCS, _JUDGED, chunks
-from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _sparse_topk_sql, _vectors, over_titles, questions
-from evidex.runtime import table
+from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _postings, _sparse_topk_sql, _vectors, over_titles, questions
+from evidex.runtime import materialize, table
 
 NOW = 2026  # the year citations are aged against
 
@@ -61,29 +61,41 @@ def _decompose_sql() -> str:
     return " union all ".join(parts)
 
 
+def _term_vectors(df, key, column):
+    """Texts as 64 term counts, the vector a search of meaning would get from a model."""
+    sparse = R.sparse_vectors(df, key, column)
+    parts = sparse.groupBy(key, (F.col("idx") % 64).alias("i")).agg(F.round(F.sum("weight"), 6).alias("w"))  # copies of a text must not differ in the last digits of a sum
+    held = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def _subquery_hits(spark, d, asked):
+    subs = understand.decompose(asked(spark, d)).withColumn("key", F.concat_ws("/", F.col("query_id").cast("string"), "sub_id"))
+    keyed = subs.select(F.col("key").alias("query_id"), "sub_query")
+    records = table(spark, d, "doc_records").select(F.col("record_id").alias("id"), "content")
+    dense = R.dense_topk(_term_vectors(keyed, "query_id", "sub_query"), _term_vectors(records, "id", "content"), 5)
+    sparse = R.sparse_topk(R.sparse_vectors(keyed, "query_id", "sub_query"), R.sparse_vectors(records, "id", "content"), 5)
+    found = answers.dense_first(dense, sparse, 5, "query_id")
+    return found.select(F.split("query_id", "/")[0].cast("bigint").alias("query_id"), F.split("query_id", "/")[1].alias("sub_id"), "id", F.col("rank").cast("bigint").alias("rank"))
+
+
 def subquery_merge(spark, d, asked=questions):
-    """Hits of the sub-queries of each question, a record once per sub-query, the best five."""
-    subs = decompose(spark, d, asked).select(F.struct("query_id", "sub_id").alias("query_id"), F.col("sub_query"))
-    postings = R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id")
-    keyed = subs.select(F.concat_ws("/", F.col("query_id.query_id").cast("string"), "query_id.sub_id").alias("query_id"), "sub_query")
-    hits = R.sparse_topk(R.sparse_vectors(keyed, "query_id", "sub_query"), postings, 5)
-    return hits.select(F.split("query_id", "/")[0].cast("bigint").alias("query_id"), F.split("query_id", "/")[1].alias("sub_id"), "id", F.col("rank").cast("bigint").alias("rank"))
+    """Hits of the sub-queries of each question: the dense list first, then the sparse one, a record once, the best five."""
+    return _subquery_hits(spark, d, asked)
 
 
 def _merge_sql() -> str:
-    inner = _sparse_topk_sql(5).replace(_Q, "s")
-    return f"""with s as (select query_id::varchar || '/' || sub_id as query_id, sub_query as query from ({_decompose_sql()})) select split_part(query_id, '/', 1)::bigint as query_id, split_part(query_id, '/', 2) as sub_id, id,
-      row_number() over (partition by query_id order by score desc, id) - 1 as rank from ({inner.replace('round(score, 8) as score', 'score')})"""
+    vec = lambda source, key: f"(select {key}, list_transform(range(64), lambda i: coalesce(m[i], 0.0)) as v from (select {key}, map(list(i), list(w)) as m from (select {key}, idx % 64 as i, round(sum(weight), 6) as w from {source} group by 1, 2) group by 1))"
+    return f"""with s as (select query_id::varchar || '/' || sub_id as query_id, sub_query as query from ({_decompose_sql()})), sq as materialized {_postings('s', 'query_id', 'query')}, rp as materialized {_postings('doc_records', 'record_id', 'content')},
+      dn as (select query_id, id, row_number() over (partition by query_id order by score desc, id) - 1 as rank, 0 as o from (select a.query_id, b.record_id as id, round(list_cosine_similarity(a.v, b.v), 9) as score from {vec('sq', 'query_id')} a, {vec('rp', 'record_id')} b) qualify rank < 5),
+      sp as (select query_id, id, row_number() over (partition by query_id order by score desc, id) - 1 as rank, 1 as o from (select query_id, record_id as id, round(sum(sq.weight * rp.weight), 9) as score from sq join rp using (idx) group by 1, 2) qualify rank < 5),
+      u as (select query_id, id, o, rank from (select * from dn union all select * from sp) qualify row_number() over (partition by query_id, id order by o, rank) = 1)
+      select split_part(query_id, '/', 1)::bigint as query_id, split_part(query_id, '/', 2) as sub_id, id, row_number() over (partition by query_id order by o, u.rank, id) - 1 as rank from u qualify row_number() over (partition by query_id order by o, u.rank, id) <= 5"""
 
 
 def deep_confidence(spark, d, asked=questions):
     """Confidence over the sub-queries of a question: share with hits, mean hits, contradictions."""
-    subs = decompose(spark, d, asked).groupBy("query_id").agg(F.count("*").alias("subs"))
-    hits = subquery_merge(spark, d, asked).groupBy("query_id").agg(F.countDistinct("sub_id").alias("good"), F.count("*").alias("hits"))
-    against = contradictions(spark, d, asked).groupBy("query_id").agg(F.count("*").alias("against"))
-    rows = subs.join(hits, "query_id", "left").join(against, "query_id", "left").fillna(0)
-    raw = F.col("good") / F.col("subs") * 0.4 + F.least(F.lit(1.0), F.col("hits") / F.col("subs") / 5) * 0.6 - F.least(F.lit(0.3), 0.1 * F.col("against"))
-    return rows.select("query_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("confidence"))
+    return answers.deep_confidence(understand.decompose(asked(spark, d)), subquery_merge(spark, d, asked), contradictions(spark, d, asked))
 
 
 def _deep_sql() -> str:
@@ -137,13 +149,17 @@ def _numbers(c: str) -> str:
     return "list_concat(" + ", ".join(f"regexp_extract_all({c}, {S.text(p)}, 1)" for p in (L.DOSE_NUMBER, L.PERCENT_NUMBER, L.TIME_NUMBER)) + ")"
 
 
-def _answers_sql() -> str:
-    c = S.plain("text")
+def _split_answer(column: str) -> str:
+    c = f"coalesce({column}, '')"
     for form in L.ANSWER_SHORT_FORMS:
         c = f"replace({c}, {S.text(form)}, {S.text(form[:-1])} || chr(1))"
     split = f"string_split(regexp_replace({c}, '([.!?])[{S.BLANK}]+', '\\1' || chr(3), 'g'), chr(3))"
     kept = f"list_filter(list_transform({split}, lambda s: {S.strip('replace(s, chr(1), ' + S.text('.') + ')')}), lambda s: length(s) > 10)"
-    return f"""select chunk_id, content, unnest(s) as sentence, (generate_subscripts(s, 1) - 1)::bigint as pos from (select chunk_id, {S.plain('content')} as content, {kept} as s from {_CHUNKS} join (select doc_id, arg_max(content, record_id) as content from doc_records group by doc_id) using (doc_id) where text is not null)"""
+    return kept
+
+
+def _answers_sql() -> str:
+    return f"""select chunk_id, content, unnest(s) as sentence, (generate_subscripts(s, 1) - 1)::bigint as pos from (select chunk_id, {S.plain('content')} as content, {_split_answer(S.plain('text'))} as s from {_CHUNKS} join (select doc_id, arg_max(content, record_id) as content from doc_records group by doc_id) using (doc_id) where text is not null)"""
 
 
 _GROUND = f"""with a as ({_answers_sql()}), e as (select content, {_named('content')} as en, {_numbers('lower(content)')} as ek from (select distinct content from a)),
@@ -187,8 +203,8 @@ def citation_check(spark, d):
 
 _ISSUES = f"""select record_id, 'NOT_FOUND' as issue, 'HIGH' as severity from doc_records where content is null
  union all select record_id, 'OUTDATED', 'LOW' from doc_records where content is not null and {NOW} - coalesce(nullif(year, 0), {NOW}) > {L.OLD_YEARS}
- union all select record_id, 'UNTRUSTED_SOURCE', 'MEDIUM' from doc_records where not list_contains({S.listed(list(L.TRUSTED))}, coalesce(source_type, ''))
- union all select record_id, 'LOW_EVIDENCE', 'LOW' from doc_records where coalesce(evidence_level, 3) > 3"""
+ union all select record_id, 'UNTRUSTED_SOURCE', 'MEDIUM' from doc_records where content is not null and not list_contains({S.listed(list(L.TRUSTED))}, lower(coalesce(source_type, '')))
+ union all select record_id, 'LOW_EVIDENCE', 'LOW' from doc_records where content is not null and coalesce(evidence_level, 3) > 3"""
 
 
 def citations_missing(spark, d):
@@ -228,47 +244,99 @@ def answer_quality(spark, d, asked=questions):
     return _context(spark, d, asked).groupBy("query_id").agg(F.round(F.avg(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))), 6).alias("quality"))
 
 
-def _graded(spark, d, asked=questions):
-    rows = _context(spark, d, asked).withColumn("w", checks.warnings(F.col("t")))
-    level = F.coalesce("evidence_level", F.lit(3))
-    warned = checks.safety(F.col("w"))
-    return rows.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("content").isNotNull()).alias("valid"), F.avg(level).alias("average"), F.count_if(level == 1).alias("first"),
-        F.avg(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("quality"), F.countDistinct("source_type").alias("sources"), F.var_pop("score").alias("variance"),
-        F.sum(F.size("w")).alias("warnings"), F.bool_or(~warned["is_safe"]).alias("high"), F.bool_or(warned["needs_disclaimer"]).alias("disclaimer"),
-    )
+def _answered(spark, d, asked):
+    """(answers, citations, chunks): an extract of the best hit of a question stands for an answer, the other hits for its evidence."""
+    hits = materialize(_context(spark, d, asked), "hits")
+    said = hits.where("rank = 0").select("query_id", F.substring("content", 1, 1500).alias("answer"))
+    cited = hits.select("query_id", "source_type", "evidence_level", F.coalesce(F.nullif("year", F.lit(0)), F.lit(NOW)).alias("year"), F.col("content").isNotNull().alias("known"))
+    behind = hits.where("rank > 0").select("query_id", "id", F.col("content").alias("text"), "score", F.lit(None).cast("double").alias("quality_score"), "source_type")
+    return said, cited, behind
+
 
+def _validated(spark, d, asked):
+    return answers.validate_answers(*_answered(spark, d, asked), NOW)
 
-def _sure():
-    steady = scoring.consistency(F.col("sources"), F.col("variance"), F.col("n"))
-    return scoring.confidence(F.col("n"), F.col("average"), F.col("first"), F.lit(0.1), F.col("quality"), steady, F.col("warnings"), F.col("high"))
+
+def answer_grounding(spark, d, asked=questions):
+    """Doubt of each sentence of an answer, by similarity, names and numbers."""
+    said, _, behind = _answered(spark, d, asked)
+    found = answers.grounding(said, behind)
+    return found.select("query_id", F.col("pos").cast("bigint").alias("pos"), F.round("similarity", 6).alias("similarity"), F.round("weight", 6).alias("weight"), "reason")
 
 
 def confidence(spark, d, asked=questions):
-    """Confidence in an answer to each question from its hits."""
-    return _graded(spark, d, asked).select("query_id", _sure().alias("confidence"))
+    """Confidence in an answer to each question."""
+    return _validated(spark, d, asked).select("query_id", F.round("risk", 6).alias("risk"), "confidence")
 
 
 def verdict(spark, d, asked=questions):
     """Verdict on an answer to each question."""
-    v = scoring.verdict(F.lit(0.1), ~F.col("high"), F.col("valid"), F.col("n"), F.col("disclaimer"), _sure(), F.lit(0))
-    return _graded(spark, d, asked).select("query_id", v.alias("verdict"))
+    return _validated(spark, d, asked).select("query_id", F.col("recommendation").alias("verdict"))
+
 
+def response(spark, d, asked=questions):
+    """What a response says of its answer."""
+    found = _validated(spark, d, asked)
+    warned = F.array_join(F.array_sort(F.transform("warnings", lambda w: F.concat_ws(":", w["type"], w["severity"]))), "|")
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("issues", "high_issues", "valid", "cited", *[f"grade_{g}" for g in range(1, 6)])]
+    return found.select("query_id", F.round("risk", 6).alias("risk"), "confidence", "recommendation", "is_safe", "needs_disclaimer", F.size("unverified").cast("bigint").alias("unverified"), warned.alias("warnings"), *whole)
 
-def _graded_sql() -> str:
-    kinds = " + ".join(f"({S.hits('t', ps)} > 0)::int" for _, _, ps in L.WARNINGS)
-    pairs = " + ".join(f"(contains(t, {S.text(a)}) and contains(t, {S.text(b)}))::int" for a, b in L.DANGEROUS)
-    drugs = " + ".join(f"contains(t, {S.text(m)})::int" for m in L.MONITORED)
-    ask = S.hits("t", L.WARNINGS[0][2] + L.WARNINGS[1][2])
+
+def _grounding_sql() -> str:
+    count = lambda keys, c, source: f"(select *, sqrt(sum(n * n) over (partition by {keys})) as norm from (select {keys}, w, count(*) as n from (select {keys}, unnest(regexp_extract_all(lower({c}), '[a-z0-9]{{2,}}')) as w from {source}) group by all))"
+    return f"""r as materialized (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) - 1 as rank, x.content, x.source_type, x.evidence_level, x.year from (select query_id, id, score from ({_sparse_topk_sql(20).replace('round(score, 8) as score', 'score')})) h join doc_records x on x.record_id = h.id),
+      an as (select query_id, coalesce(substr(content, 1, 1500), '') as answer from r where rank = 0), ch as (select * from r where rank > 0),
+      se as (select query_id, unnest(s) as sentence, unnest(range(len(s))) as pos from (select query_id, {_split_answer('answer')} as s from an)),
+      kn as (select query_id, flatten(list({_named(S.plain('content'))})) as kn, flatten(list({_numbers('lower(' + S.plain('content') + ')')})) as kk from ch group by query_id),
+      sim as (select query_id, pos, round(max(s), 9) as sim from (select a.query_id, pos, b.id, sum(a.n * b.n) / any_value(a.norm) / any_value(b.norm) as s from {count('query_id, pos', 'sentence', 'se')} a join {count('query_id, id', "coalesce(content, '')", 'ch')} b on a.query_id = b.query_id and a.w = b.w group by 1, 2, 3) group by 1, 2),
+      g0 as (select se.*, coalesce(sim, 0.0::double) as sim, list_sort(list_distinct(list_filter({_named(S.plain('sentence'))}, lambda y: not list_contains(coalesce(kn, []), y)))) as names, list_sort(list_distinct(list_filter({_numbers('lower(' + S.plain('sentence') + ')')}, lambda y: not list_contains(coalesce(kk, []), y)))) as numbers
+        from se left join kn using (query_id) left join sim using (query_id, pos)),
+      g as (select *, case when length(sentence) < 20 or ends_with(sentence, ':') then 0.0::double else case when sim < 0.45 then 0.4::double else 0.0::double end + case when len(names) > 1 then 0.3::double else 0.0::double end + case when len(numbers) > 0 then 0.3::double else 0.0::double end end as weight from g0)"""
+
+
+_ANSWER_GROUNDING = f"""with {_grounding_sql()} select query_id, pos, round(sim, 6) as similarity, round(weight, 6) as weight, case when weight = 0 then '' else array_to_string(list_filter([case when sim < 0.45 then 'Low semantic similarity (' || format('{{:.2f}}', sim) || ')' end,
+  case when len(names) > 1 then 'Ungrounded entities: ' || array_to_string(names[1:3], ', ') end, case when len(numbers) > 0 then 'Unverified numbers: ' || array_to_string(numbers, ', ') end], lambda x: x is not null), '; ') end as reason from g"""
+
+
+def _validated_sql() -> str:
+    kinds = [f"case when {S.hits('l', ps)} > 0 then {S.text(f'{k}:{s}')} end" for k, s, ps in L.WARNINGS]
+    pairs = [f"case when contains(l, {S.text(a)}) and contains(l, {S.text(b)}) then 'DRUG_INTERACTION:HIGH' end" for a, b in L.DANGEROUS]
+    drugs = [f"case when contains(l, {S.text(m)}) then 'MONITORING_REQUIRED:MEDIUM' end" for m in L.MONITORED]
     steady = "case when n < 2 then 0.8::double else 0.4::double * least(1.0::double, s::double / 3) + 0.6::double * greatest(0.0::double, 1 - 2 * v) end"
-    evidence = "case when a <= 0 then 0.5::double else greatest(0.0::double, least(1.0::double, (6 - a) / 5 + 0.1::double * f)) end"
-    penalty = "least(0.4::double, least(0.3::double, 0.05::double * w) + case when high then 0.1::double else 0.0::double end)"
-    raw = f"0.25::double + 0.15::double * least(1.0::double, n::double / 8) + 0.15::double * ({evidence}) + 0.2::double * 0.9::double + 0.15::double * q + 0.1::double * ({steady}) - {penalty}"
-    return f"""(select *, round(greatest(0.0::double, least(1.0::double, {raw})), 3) as confidence from (select query_id, count(*) as n, count(content) as valid, avg(coalesce(evidence_level, 3)) as a, count_if(coalesce(evidence_level, 3) = 1) as f,
-      avg(least(greatest(score, 0), 1)) as q, count(distinct source_type) as s, var_pop(score) as v, sum({kinds} + {pairs} + {drugs}) as w, bool_or({pairs} > 0) as high, bool_or({ask} > 0) as disclaimer from {_hit_rows()} group by query_id))"""
+    evidence = "case when a <= 0 then 0.5::double else greatest(0.0::double, least(1.0::double, (6 - a) / 5 + 0.1::double * grade_1)) end"
+    penalty = "least(0.4::double, least(0.3::double, 0.05::double * len(w)) + case when not is_safe then 0.1::double else 0.0::double end)"
+    raw = f"0.25::double + 0.15::double * least(1.0::double, cited::double / 8) + 0.15::double * ({evidence}) + 0.2::double * greatest(0.0::double, 1 - risk) + 0.15::double * q + 0.1::double * ({steady}) - {penalty}"
+    grades = ", ".join(f"count_if(content is not null and coalesce(evidence_level, 3) = {g}) as grade_{g}" for g in range(1, 6))
+    issue = {"old": f"content is not null and {NOW} - coalesce(nullif(year, 0), {NOW}) > {L.OLD_YEARS}", "bad": f"content is not null and not list_contains({S.listed(list(L.TRUSTED))}, lower(coalesce(source_type, '')))", "low": "content is not null and coalesce(evidence_level, 3) > 3"}
+    return f"""with {_grounding_sql()},
+      d as (select query_id, least(1.0::double, sum(weight) / count(*)) as doubt, count_if(weight > 0) as unverified from g group by 1),
+      b as (select query_id, count(*) as n, avg(least(greatest(score, 0), 1)) as q, count(distinct coalesce(source_type, 'unknown')) as s, var_pop(score) as v from ch group by 1),
+      c as (select query_id, count(*) as cited, count(content) as valid, coalesce(avg(case when content is not null then coalesce(evidence_level, 3) end), 3.0) as a, {grades}, sum((content is null)::int + {' + '.join(f'({i})::int' for i in issue.values())}) as issues, count_if(content is null) as high_issues from r group by 1),
+      e as (select *, len(list_filter(w, lambda x: ends_with(x, ':HIGH'))) = 0 as safe, len(list_filter(w, lambda x: starts_with(x, 'TREATMENT') or starts_with(x, 'DOSAGE'))) > 0 as needs_disclaimer from (select query_id, answer, list_filter([{', '.join(kinds + pairs + drugs)}], lambda x: x is not null) as w from (select *, lower({S.plain('answer')}) as l from an))),
+      j as (select e.query_id, answer, w, safe as is_safe, needs_disclaimer, coalesce(unverified, 0) as unverified, coalesce(n, 0) as n, coalesce(q, 0.5) as q, coalesce(s, 0) as s, coalesce(v, 0.0) as v, c.* exclude (query_id), case when answer = '' then 0.0::double when coalesce(n, 0) = 0 then 1.0::double else coalesce(doubt, 0.0::double) end as risk
+        from e left join d using (query_id) left join b using (query_id) left join c using (query_id)),
+      k as (select *, case when answer = '' then 0.0::double else round(greatest(0.0::double, least(1.0::double, {raw})), 3) end as confidence from j),
+      z as (select * exclude (is_safe), is_safe and answer <> '' as is_safe, case when answer = '' or risk > 0.6 or not is_safe or (valid = 0 and cited > 0) then 'UNSAFE' when risk > 0.3 or needs_disclaimer or confidence < 0.5 or high_issues > 0 then 'NEEDS_REVIEW' else 'SAFE' end as verdict from k)"""
+
+
+_RESPONSE = _validated_sql() + " select query_id, round(risk, 6) as risk, confidence, verdict as recommendation, is_safe, needs_disclaimer, unverified, array_to_string(list_sort(w), '|') as warnings, issues::bigint as issues, high_issues, valid, cited, " + ", ".join(f"grade_{g}" for g in range(1, 6)) + " from z"
+
+
+def contradiction_report(spark, d, asked=questions):
+    """How many contradictions the hits of each question hold."""
+    return answers.contradiction_report(asked(spark, d), contradictions(spark, d, asked)).withColumn("pairs", F.col("pairs").cast("bigint"))
+
+
+def synthesis_prompts(spark, d, asked=questions):
+    """Prompts and citations of each question, as hashes."""
+    hits = _context(spark, d, asked).select("query_id", F.col("rank").alias("pos"), "id", "title", "source_type", F.col("content").alias("text"), "score")
+    found = answers.synthesis_prompt(asked(spark, d), hits)
+    return found.select("query_id", F.md5("prompt").alias("prompt"), F.array_join(F.transform("citations", lambda c: c["id"]), ",").alias("cited"))
 
 
-_VERDICT = f"select query_id, case when high or (valid = 0 and n > 0) then 'UNSAFE' when disclaimer or confidence < 0.5 then 'NEEDS_REVIEW' else 'SAFE' end as verdict from {_graded_sql()}"
+_PROMPTS = f"""with h as (select query_id, id, row_number() over (partition by query_id order by score desc, id) - 1 as pos from ({_sparse_topk_sql(20).replace('round(score, 8) as score', 'score')})),
+ p as (select query_id, string_agg('[' || (pos + 1) || '] Source: ' || coalesce(source_type, 'unknown') || ', Title: ' || coalesce(title, 'Untitled') || chr(10) || substr(coalesce(content, ''), 1, 300), chr(10) || chr(10) order by pos) as e, string_agg(id::varchar, ',' order by pos) filter (pos < 10) as cited from h join doc_records x on x.record_id = h.id group by query_id)
+ select query_id, md5('Answer the question from the numbered evidence alone, cite it by number, and name what contradicts.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Evidence:' || chr(10) || coalesce(e, '') || chr(10) || chr(10) || 'Answer:') as prompt, coalesce(cited, '') as cited from {_Q} left join p using (query_id)"""
 
 
 def storage_stats(spark, d):
@@ -330,8 +398,12 @@ QUERIES = {
     "trusted_ratio": (trusted_ratio, f"select doc_id, round(avg(list_contains({S.listed(list(L.TRUSTED))}, coalesce(source_type, ''))::int), 6) as trusted from doc_records group by doc_id"),
     "consistency": (consistency, _CONSISTENCY),
     "answer_quality": (answer_quality, f"select query_id, round(avg(least(greatest(score, 0), 1)), 6) as quality from {_hit_rows()} group by query_id"),
-    "confidence": (confidence, f"select query_id, confidence from {_graded_sql()}"),
-    "verdict": (verdict, _VERDICT),
+    "answer_grounding": (answer_grounding, _ANSWER_GROUNDING),
+    "confidence": (confidence, _validated_sql() + " select query_id, round(risk, 6) as risk, confidence from z"),
+    "verdict": (verdict, _validated_sql() + " select query_id, verdict from z"),
+    "response": (response, _RESPONSE),
+    "contradiction_report": (contradiction_report, f"select query_id, n > 0 as has_contradictions, n as pairs, case when n > 0 then 'Found ' || n || ' potential contradiction(s) in retrieved evidence. Please verify before clinical use.' else '' end as summary from (select query_id, coalesce(n, 0) as n from {_Q} left join (select query_id, count(*) as n from ({_contradictions_sql()}) group by 1) using (query_id))"),
+    "synthesis_prompts": (synthesis_prompts, _PROMPTS),
     "storage_stats": (storage_stats, _STORED),
     "run_summary": (run_summary, "select source_type, status, count(*) as runs, " + ", ".join(f"sum(coalesce({c}, 0))::bigint as {c}" for c in monitoring.COUNTERS) + f", round(sum(coalesce(duration_seconds, 0)), 1) as seconds, grouping_id(source_type, status)::bigint as level from {_RUNS} group by rollup(source_type, status)"),
     "recent_runs": (recent_runs, f"select run_id, source_type, status from {_RUNS} order by started_at desc nulls last, run_id limit 5"),
@@ -339,5 +411,5 @@ QUERIES = {
     "event_windows": (event_windows, "select epoch_us(date_trunc('hour', ts)) as hour, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2"),
     "event_sessions": (event_sessions, "select user_id, session, count(*) as n, round(sum(value), 2) as total from (select *, sum(starts) over (partition by user_id order by ts, event_id) as session from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 1800000000 then 0 else 1 end as starts from events)) group by 1, 2"),
 }
-ROW_WISE, SEARCHES = ("route", "decompose"), ("subquery_merge", "deep_confidence", "contradictions", "consistency", "answer_quality", "confidence", "verdict")
+ROW_WISE, SEARCHES = ("route", "decompose"), ("subquery_merge", "deep_confidence", "contradictions", "consistency", "answer_quality", "answer_grounding", "confidence", "verdict", "response", "contradiction_report")
 QUERIES |= over_titles(QUERIES, ROW_WISE, SEARCHES)

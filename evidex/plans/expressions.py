@@ -8,10 +8,12 @@ from evidex.functions import classify as C
 from evidex.functions import lexicons as L
 from evidex.functions import scoring, text, vectors
 from evidex.operators.merge import latest
+from evidex.operators.payload import payload
 from evidex.operators.retrieve import conditions
 from evidex.operators.validate import clean_lines, validate_chunks, validate_documents
 from evidex.plans import sql as S
 from evidex.runtime import parallel, table
+from evidex.sources.records import document_key
 
 _CHUNKS = "(select distinct on (chunk_id) chunk_id, doc_id, chunk_type, section_title, text, contextual_text, token_estimate, chunk_index, total_chunks from chunks)"
 
@@ -280,29 +282,32 @@ def doc_ids_by_source(spark, d):
 
 
 def index_rows(spark, d):
-    """Index payloads with their defaults."""
-    text_or = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(other)).alias(c)
-    return table(spark, d, "doc_records").select(
-        "record_id", text_or("source_type", "unknown"), text_or("study_type", "unknown"), F.coalesce("year", F.lit(0)).cast("bigint").alias("year"),
-        F.coalesce(F.col("evidence_level").cast("string"), F.lit("unknown")).alias("evidence_level"), F.coalesce("is_india_specific", F.lit(False)).alias("india_relevant"), F.coalesce("doi", F.lit("")).alias("doi"),
-    )
+    """Payloads of the index: every chunk with the metadata of the newest record of its document, lists joined."""
+    docs = documents(spark, d).select("doc_id", "record_id", "source_type", "title", "year", "journal", "doi", "t")
+    found = payload(chunks(spark, d, "doc_id", "chunk_type", "section_title", "chunk_index", "total_chunks"), latest(docs, "doc_id", "record_id"))
+    lists = {n: F.array_join(n, "|") for n in ("authors", "specialty", "mesh_terms", "keywords")}
+    whole = {n: F.col(n).cast("bigint") for n in ("year", "chunk_index", "total_chunks")}
+    return found.withColumns({**lists, **whole, "evidence_boost": F.col("evidence_boost").cast("double")})
 
 
-_INDEX = """select record_id, coalesce(nullif(trim(source_type), ''), 'unknown') as source_type, coalesce(nullif(trim(study_type), ''), 'unknown') as study_type, coalesce(year, 0)::bigint as year,
- coalesce(evidence_level::varchar, 'unknown') as evidence_level, coalesce(is_india_specific, false) as india_relevant, coalesce(doi, '') as doi from doc_records"""
+def _index_sql() -> str:
+    level = S.lookup("kind", L.LEVEL_OF_TYPE, "unknown")
+    return f"""with r as (select doc_id, arg_max({{'source_type': source_type, 'title': title, 'year': year, 'journal': journal, 'doi': doi, 't': t}}, record_id) as r from {_DOCS} group by doc_id),
+ e as (select doc_id, r.source_type as source_type, r.title as title, r.year as year, r.journal as journal, r.doi as doi, r.t as t, {S.doc_type('r.t')} as kind from r)
+ select c.doc_id as doc_id, c.chunk_id as chunk_id, coalesce(c.chunk_type, '') as chunk_type, coalesce(source_type, 'unknown') as source, kind as doc_type, {level} as evidence_level, ({S.evidence_boost('(' + level + ')')})::double as evidence_boost, {S.strip("coalesce(title, '')")} as title,
+  coalesce(nullif(greatest(coalesce(year, 0), 0), 0), {_year('t')})::bigint as year, {S.strip("coalesce(journal, '')")} as journal, '' as authors, coalesce(doi, '') as doi, '' as pmid, {_SPECIALTIES.replace("','", "'|'")} as specialty, '' as mesh_terms, '' as keywords,
+  coalesce(c.section_title, '') as section_title, c.chunk_index::bigint as chunk_index, c.total_chunks::bigint as total_chunks, coalesce(c.chunk_type, '') = 'table' as has_table, {', '.join(f'{x} as {n}' for n, x in _FLAGS.items())}
+ from {_CHUNKS} c join e using (doc_id)"""
 
 
 def normalize_docs(spark, d):
-    """Document keys: by identifier in the web address, by DOI, else by a slug of the title."""
-    pmid = F.regexp_extract(F.coalesce("url", F.lit("")), r"/(\d{4,})", 1)
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text.plain(F.col("title"))), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
-    doi = F.coalesce("doi", F.lit(""))
-    key = F.when(pmid != "", F.concat(F.lit("pmid_"), pmid)).when(doi != "", F.concat(F.lit("doi_"), F.replace(doi, F.lit("/"), F.lit("_")))).otherwise(F.concat(F.lit("doc_"), F.when(slug == "", "unknown").otherwise(slug)))
+    """Document keys: by DOI, else by a hash of address, title and content; years that are no number are 0."""
+    key = document_key(F.lit(None).cast("string"), F.col("doi"), F.col("url"), F.col("title"), F.col("content"))
     return table(spark, d, "doc_records").select("record_id", key.alias("key"), F.coalesce("year", F.lit(0)).cast("bigint").alias("year"))
 
 
-_NORMAL = f"""select record_id, case when p <> '' then 'pmid_' || p when coalesce(doi, '') <> '' then 'doi_' || replace(doi, '/', '_') else 'doc_' || case when s = '' then 'unknown' else s end end as key, coalesce(year, 0)::bigint as year
- from (select *, regexp_extract(coalesce(url, ''), '/(\\d{{4,}})', 1) as p, substr(regexp_replace(regexp_replace(lower({S.plain('title')}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) as s from doc_records)"""
+_NORMAL = f"""select record_id, case when d <> '' then 'doi_' || replace(d, '/', '_') else 'doc_' || substr(sha1(coalesce(url, '') || '|' || coalesce(title, '') || '|' || coalesce(content, '')), 1, 12) end as key, coalesce(year, 0)::bigint as year
+ from (select *, {S.strip("coalesce(doi, '')")} as d from doc_records)"""
 
 
 def enrich(spark, d):
@@ -361,7 +366,7 @@ QUERIES = {
     "cache_keys": (cache_keys, f"select record_id, 'search:v1:hits:' || substr(sha256(lower({S.strip(S.or_empty('title'))}) || '|{{}}'), 1, 16) as cache_key from doc_records"),
     "point_lookup": (point_lookup, "select record_id, doc_id, title from doc_records where record_id = 7"),
     "doc_ids_by_source": (doc_ids_by_source, "select distinct doc_id from doc_records where source_type = 'who'"),
-    "index_rows": (index_rows, _INDEX),
+    "index_rows": (index_rows, _index_sql()),
     "normalize_docs": (normalize_docs, _NORMAL),
     "enrich": (enrich, _enrich_sql()),
 }

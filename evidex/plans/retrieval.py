@@ -53,10 +53,10 @@ SEARCHED_TITLES = TITLES.replace(" from doc_records", " from doc_records where r
 def over_titles(found: dict, row_wise: tuple, searches: tuple) -> dict:
     """The queries of those names once more, with the titles of the table in place of the short list.
 
-    Searches have no SQL here: that of the short list, which takes characters outside ASCII for ``~``, holds for ASCII rows alone.
+    The SQL is that of the short list with this one relation replaced.
     """
     rows = {f"{n}_titles": (partial(found[n][0], asked=titles), found[n][1].replace(_Q, TITLES)) for n in row_wise}
-    return rows | {f"{n}_titles": (partial(found[n][0], asked=searched_titles), None) for n in searches}
+    return rows | {f"{n}_titles": (partial(found[n][0], asked=searched_titles), found[n][1].replace(_Q, SEARCHED_TITLES)) for n in searches}
 
 
 def _lower():

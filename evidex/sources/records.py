@@ -22,7 +22,8 @@ def document_key(pmid: Column, doi: Column, url: Column, title: Column, content:
     """Key of a document: by identifier, by DOI, else by a hash of address, title and content."""
     text = lambda c: F.coalesce(c, F.lit(""))
     rest = F.substring(F.sha1(F.concat_ws("|", text(url), text(title), text(content))), 1, 12)
-    return F.when(text(pmid) != "", F.concat(F.lit("pmid_"), pmid)).when(text(doi) != "", F.concat(F.lit("doi_"), F.replace(doi, F.lit("/"), F.lit("_")))).otherwise(F.concat(F.lit("doc_"), rest))
+    pmid, doi = strip(text(pmid)), strip(text(doi))
+    return F.when(pmid != "", F.concat(F.lit("pmid_"), pmid)).when(doi != "", F.concat(F.lit("doi_"), F.replace(doi, F.lit("/"), F.lit("_")))).otherwise(F.concat(F.lit("doc_"), rest))
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,9 +47,9 @@ def _first_year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
 
 
-def pubmed_xml(spark: SparkSession, path: str, source_type: str = "pubmed") -> DataFrame:
+def pubmed_xml(spark: SparkSession, path: str, source_type: str = "pubmed", reader=None) -> DataFrame:
     """Articles of XML files: one without title and abstract is left out; several abstract parts are joined; broken files give none."""
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").schema(PUBMED_ARTICLE).load(path)
+    rows = (reader or spark.read).format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").schema(PUBMED_ARTICLE).load(path)
     a, c = F.col("MedlineCitation.Article"), F.col("MedlineCitation")
     text = lambda x: strip(F.coalesce(x, F.lit("")))
     listed = lambda x, f: F.coalesce(F.filter(F.transform(x, f), lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
