@@ -1,9 +1,9 @@
 """Text of scanned pages: page furniture dropped, broken words joined, misread characters repaired.
 
 Noisy channel: each unlikely word of a line gets candidate words by undoing confusions of characters;
-a candidate's probability is that of the confusions times that of the word after its neighbour, from
-word and pair counts of all texts that were not scanned, and Viterbi picks the best sequence of
-candidates per line. Counts are kept under 64-bit hashes of words and pairs and joined, never held
+a candidate's probability is that of the confusions, as often as they are met in the scanned texts
+themselves, times that of the word after its neighbour, from word and pair counts of all texts that
+were not scanned, and Viterbi picks the best sequence of candidates per line. Counts are kept under 64-bit hashes of words and pairs and joined, never held
 in one place. Furniture is found within the record: page numbers, lines that repeat, and the title
 or a volume line as a running head. A hyphen at a line's end is part of the word where the word is
 more often met with it.
@@ -29,11 +29,12 @@ CONFUSIONS = {
     "c": ["e"], "0": ["o"], "1": ["l", "i"], "!": ["i", "l"], "|": ["l", "i"], "+": ["t"], "@": ["a"], "$": ["s"],
     "5": ["s"], "6": ["b"], "8": ["b"], "9": ["g"], "cl": ["d"], "li": ["h"], "ri": ["n"], "vv": ["w"], "rn": ["m"],
 }
-#: Log probability of a confusion with a sign or figure, and with letters.
-SIGN, LETTERS = math.log(4e-3), math.log(1e-3)
-UNKNOWN = 0.02  # count given to a word never met in clean text
-CERTAIN = 20  # words met as often in clean text are taken as read
-OPTIONS = 8  # candidates of a word, the likeliest
+#: Probability of a confusion with a sign or figure, and with letters, before any is seen; worth so many characters seen.
+SIGN, LETTERS, PRIOR = 4e-3, 1e-3, 2000
+#: Words met as often in clean text are taken as read: so many times, in a large collection this share of all its words.
+CERTAIN, CERTAIN_SHARE = 20, 2e-6
+#: Count given to a word never met in clean text, of up to so many words; in proportion beyond.
+UNKNOWN, UNKNOWN_OF = 0.02, 1e7
 SMOOTH = 2.0  # weight of single words against pairs
 HYPHENS = "-‐‑­¬"
 
@@ -80,9 +81,9 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
         if name and not as_head and -2 <= len(whole) - len(name) <= 6 and _alike(whole, name, 0.9):
             head = set(first[:n])
             break
-    groups: list[tuple[str, list[int]]] = []
+    groups: dict[str, list[int]] = {}
     for i, text in bare.items():
-        if i in head or len(text) > 100:
+        if i in head:
             continue
         folded = _fold(text)
         if _VOLUME.search(text):
@@ -91,13 +92,8 @@ def furniture(lines: list[str], title: str | None) -> set[int]:
             out.add(i)
         elif len(folded) >= 8:
             masked = re.sub(r"[0-9ol]+(?=\s|$)", "0", folded)
-            for other, at in groups:
-                if other == masked:
-                    at.append(i)
-                    break
-            else:
-                groups.append((masked, [i]))
-    for _, at in groups:
+            groups.setdefault(masked, []).append(i)
+    for at in groups.values():
         if len(at) > 1 and any(j - i > 3 for i, j in zip(at, at[1:])) and all({i - 1, i + 1, i - 2, i + 2} & out for i in at):
             out.update(at)
     return out
@@ -187,16 +183,27 @@ def _flush(held: Counter) -> pd.DataFrame:
     return pd.DataFrame({"h": [0, *map(_hash, held)], "n": [total, *held.values()]})
 
 
-def candidates(word: str) -> dict[str, tuple[float, int]]:
-    """Words that may have been printed for ``word``: log probability of up to two confusions, and where the first is."""
-    edits = [(i, seen, right) for i in range(len(word)) for seen in (word[i], word[i : i + 2]) for right in CONFUSIONS.get(seen, ())]
-    weight = lambda seen: LETTERS if seen.isalpha() else SIGN
+def _prior(seen: str) -> float:
+    return LETTERS if seen.isalpha() else SIGN
+
+
+def _edits(word: str) -> list[tuple[int, str, str]]:
+    """(position, seen, right) of every confusion that one character or two next to each other may be."""
+    return [(i, seen, right) for i in range(len(word)) for seen in ((word[i], word[i : i + 2]) if i + 1 < len(word) else (word[i],)) for right in CONFUSIONS.get(seen, ())]
+
+
+def candidates(word: str, weights: dict[tuple[str, str], float] | None = None) -> dict[str, tuple[float, int]]:
+    """Words that may have been printed for ``word``: log probability of up to two confusions, and where the first is.
+
+    ``weights`` are the log probabilities of confusions (seen, right).
+    """
+    weight = lambda seen, right: (weights or {}).get((seen, right), math.log(_prior(seen)))
     out: dict[str, tuple[float, int]] = {}
     single = []
-    for i, seen, right in edits:
+    for i, seen, right in _edits(word):
         made = word[:i] + right + word[i + len(seen) :]
         single.append((i, seen, right))
-        out[made] = max(out.get(made, (-99.0, i)), (weight(seen), i))
+        out[made] = max(out.get(made, (-99.0, i)), (weight(seen, right), i))
     for x, (i, seen, right) in enumerate(single):
         for j, seen2, right2 in single[x + 1 :]:
             # two confusions of letters alone are too unlikely to try
@@ -204,14 +211,43 @@ def candidates(word: str) -> dict[str, tuple[float, int]]:
                 continue
             made = word[:i] + right + word[i + len(seen) : j] + right2 + word[j + len(seen2) :]
             if made not in out:
-                out[made] = (weight(seen) + weight(seen2), i)
+                out[made] = (weight(seen, right) + weight(seen2, right2), i)
     return out
 
 
-def _candidate_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidate_rows(weights: dict[tuple[str, str], float]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(w, c, p, at, _hash(c)) for w in pdf["word"] for c, (p, at) in candidates(w, weights).items()]
+            yield pd.DataFrame(rows, columns=["word", "c", "p", "at", "h"])
+
+    return run
+
+
+def _single_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        rows = [(w, c, p, at, _hash(c)) for w in pdf["word"] for c, (p, at) in candidates(w).items()]
-        yield pd.DataFrame(rows, columns=["word", "c", "p", "at", "h"])
+        rows = [(w, seen, right, _hash(w[:i] + right + w[i + len(seen) :])) for w in pdf["word"] for i, seen, right in _edits(w)]
+        yield pd.DataFrame(rows, columns=["word", "seen", "right", "h"])
+
+
+def confusion_weights(met: DataFrame, counts: DataFrame) -> dict[tuple[str, str], float]:
+    """Log probability of each confusion, of the different words ``met`` (word, n) in scanned texts and the clean ``counts`` (h, n).
+
+    A word never met clean that one confusion alone turns into a known one counts for that confusion,
+    against the places in known words where it might have been; few counts lean on the prior.
+    """
+    single = met.where("n = 0").select("word").mapInPandas(_single_rows, "word string, seen string, right string, h bigint").join(counts.select("h"), "h")
+    sure = single.groupBy("word").agg(F.count("*").alias("k"), F.first("seen").alias("seen"), F.first("right").alias("right")).where("k = 1")
+    found = {(r["seen"], r["right"]): r["count"] for r in sure.groupBy("seen", "right").count().collect()}  # a row per confusion at most
+    rights = sorted({right for of in CONFUSIONS.values() for right in of})
+    places = [F.sum((F.length("word") - F.length(F.replace("word", F.lit(r), F.lit("")))) / len(r)).alias(r) for r in rights]
+    whole = met.where("n > 0").agg(*places).first()  # one row
+    out = {}
+    for seen, of in CONFUSIONS.items():
+        for right in of:
+            k = found.get((seen, right), 0)
+            out[seen, right] = math.log((k + PRIOR * _prior(seen)) / (k + (whole[right] or 0) + PRIOR))
+    return out
 
 
 def _hashes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +264,14 @@ def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["record_id", "line_no", "h"])
 
 
-def _options(u) -> list[tuple[str, float, float, int, bool]]:
+def _options(u, unknown: float = UNKNOWN) -> list[tuple[str, float, float, int, bool]]:
     """(word, log probability of reading, count, position of the confusion, with hyphen) of a unit."""
     out = []
     for word, n, found, hyphen in ((u["word"], u["n"], u["found"], False), (u["other"], u["n_other"], u["found_other"], True)):
         if word is None:
             continue
         odd = re.search(r"[^\W\d_][!+@$|][^\W_]|[+@$]", word) is not None
-        out.append((word, 0.0, (n or 0.0) + (UNKNOWN * (0.02 if odd else 1.0) if not n else 0.0), -1, hyphen))
+        out.append((word, 0.0, (n or 0.0) + (unknown * (0.02 if odd else 1.0) if not n else 0.0), -1, hyphen))
         out += [(f["c"], f["p"], float(f["n"]), f["at"], hyphen) for f in (found if found is not None else ())]
     return out
 
@@ -270,7 +306,7 @@ def decode(units, pairs: dict[int, int], total: float) -> list[tuple[str, float,
         trail.clear()
 
     for x, u in enumerate(units):
-        own = _options(u)
+        own = _options(u, UNKNOWN * max(1.0, total / UNKNOWN_OF))
         linked = bool(trail) and units[x - 1]["pos"] == u["pos"] - 1
         if not linked:
             close()
@@ -324,20 +360,21 @@ def findings(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     layout = materialize(scanned.select("record_id", "title", "content").where("content is not null").mapInPandas(_layout, _LAYOUT), "layout")
     partial = clean.select("content").where("content is not null").mapInPandas(_count, "h bigint, n bigint")
     counts = materialize(partial.groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    total = counts.where("h = 0").select(F.greatest("n", F.lit(1)).alias("total"))
+    total = counts.where("h = 0").agg(F.greatest(F.coalesce(F.max("n"), F.lit(1)), F.lit(1)).alias("total"))
     words = layout.where("kind in ('word', 'broken')")
     every = words.select(F.explode(F.array("word", "other")).alias("word")).where("word is not null").distinct()
     met = every.mapInPandas(_hashes, "word string, h bigint").join(counts, "h", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    met = materialize(met, "met")
-    rare = met.where(F.col("n") < CERTAIN).select("word")
-    found = rare.mapInPandas(_candidate_rows, "word string, c string, p double, at int, h bigint").join(counts, "h")
-    found = found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("p") + F.log("n")).alias("s"), "c", "p", "at", "n")), asc=False), 1, OPTIONS).alias("found"))
+    certain = F.greatest(F.lit(float(CERTAIN)), CERTAIN_SHARE * F.col("total"))
+    met = materialize(met.crossJoin(F.broadcast(total)).select("word", "n", (F.col("n") < certain).alias("rare")), "met")
+    rare = met.where("rare").select("word")
+    found = rare.mapInPandas(_candidate_rows(confusion_weights(met, counts)), "word string, c string, p double, at int, h bigint").join(counts, "h")
+    found = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((F.col("p") + F.log("n")).alias("s"), "c", "p", "at", "n")), asc=False).alias("found"))
     known = materialize(met.join(found, "word", "left"), "known")
     odd = F.col("word").rlike(r"[^\W\d_][!+@][^\W\d_]|[+@]|[a-z][0159][a-z]")
-    doubtful = known.where((F.col("n") < CERTAIN) & (F.col("found").isNotNull() | odd))
-    plain = words.where("kind = 'word'").join(doubtful, "word").withColumns({"n_other": F.lit(None).cast("bigint"), "found_other": F.lit(None).cast(known.schema["found"].dataType)})
+    doubtful = known.where(F.col("rare") & (F.col("found").isNotNull() | odd))
+    plain = words.where("kind = 'word'").join(doubtful.drop("rare"), "word").withColumns({"n_other": F.lit(None).cast("bigint"), "found_other": F.lit(None).cast(known.schema["found"].dataType)})
     other = known.select(F.col("word").alias("other"), F.col("n").alias("n_other"), F.col("found").alias("found_other"))
-    broken = words.where("kind = 'broken'").join(known, "word").join(other, "other")
+    broken = words.where("kind = 'broken'").join(known.drop("rare"), "word").join(other, "other")
     unit = F.struct("pos", "word", "other", "lefts", "rights", "cut", "line2", "n", "n_other", "found", "found_other")
     lines = plain.unionByName(broken).groupBy("record_id", "line_no").agg(F.sort_array(F.collect_list(unit)).alias("units"))
     lines = materialize(lines, "lines")
