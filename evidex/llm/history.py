@@ -139,14 +139,16 @@ def accept_in_order(links: DataFrame) -> DataFrame:
     return links.select(F.col("late").alias("id")) if cases is None else cases
 
 
-def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: float = 0.6, cover: float = COVER, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+def repeats(batch: DataFrame, history: HistoryIndex | None = None, minimum: float = 0.6, cover: float = COVER, width: int = WIDTH, least: int = LEAST, rows: DataFrame | None = None) -> DataFrame:
     """(id) of records of ``batch`` (id, at, text) that repeat an accepted one, of ``history`` or earlier in the batch.
 
+    ``rows`` are the hashes of the batch, a written table, where they were taken before.
+
     Without ``history`` the table is replayed whole: its rows count as batches in order of time.
     Rows with null ``at``, null, empty or short text take no part and are no repeats; ties in ``at``
     go by id; ids must be unique; other columns are not read; an empty batch gives no rows.
     """
-    rows = materialize(hashed(batch, least), "hashed")
+    rows = materialize(hashed(batch, least), "hashed") if rows is None else rows
     first = rows.groupBy("digest").agg(F.min(F.struct("at", "id")).alias("first"))
     copies = rows.select("digest", "id").join(first, "digest").select("digest", "id", F.col("first.id").alias("rep"))
     if history is not None:
@@ -249,8 +251,9 @@ class HistoryIndex:
         if self._table("taken").where(F.col("batch") == name).isEmpty():
             self._now = name
             batch = batch.select(F.col("id").cast(T.LongType()), F.col("at").cast(T.TimestampNTZType()), "text")
-            found = materialize(repeats(batch, self, **settings), "repeats")
-            fresh = materialize(hashed(batch, settings.get("least", LEAST)).join(found, "id", "left_anti"), "fresh")
+            rows = materialize(hashed(batch, settings.get("least", LEAST)), "hashed")
+            found = materialize(repeats(batch, self, rows=rows, **settings), "repeats")
+            fresh = rows.join(found, "id", "left_anti")
             if self._own is None:
                 self._put("texts", batch.join(fresh, "id", "left_semi"))
             self._put("paragraphs", paragraphs(fresh))
