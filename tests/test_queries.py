@@ -10,7 +10,7 @@ from evidex import plans
 
 FOLDER = Path("/root/testdata/sf0.001")
 #: Queries whose result may be empty on the smallest tables.
-MAY_BE_EMPTY = {"doi_matches", "title_dupes", "contradictions", "run_alerts", "quality_gate", "context_prefix", "chunk_exists"}
+MAY_BE_EMPTY = {"doi_matches", "title_dupes", "contradictions", "contradictions_titles", "run_alerts", "quality_gate", "context_prefix", "chunk_exists"}
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
 
