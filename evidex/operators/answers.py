@@ -128,8 +128,12 @@ def contradiction_report(queries: DataFrame, found: DataFrame) -> DataFrame:
 
 def dense_first(dense: DataFrame, sparse: DataFrame, k: int, *keys: str) -> DataFrame:
     """(keys, id, score, rank) of two ranked lists: the dense one first, then what only the sparse one has, cut to ``k``."""
-    both = dense.select(*keys, "id", "score", F.lit(0).alias("of"), F.col("rank").alias("place")).unionByName(sparse.select(*keys, "id", "score", F.lit(1).alias("of"), F.col("rank").alias("place")))
-    once = both.groupBy(*keys, "id").agg(F.min(F.struct("of", "place", "score")).alias("b")).select(*keys, "id", "b.*")
+    return lists_in_turn(dense.select(*keys, F.lit(0).alias("of"), "id", "score", "rank").unionByName(sparse.select(*keys, F.lit(1).alias("of"), "id", "score", "rank")), k, *keys)
+
+
+def lists_in_turn(hits: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(keys, id, score, rank) of ranked lists (keys, of, id, score, rank): those of the least ``of`` first, each id once, cut to ``k``."""
+    once = hits.groupBy(*keys, "id").agg(F.min(F.struct("of", F.col("rank").alias("place"), "score")).alias("b")).select(*keys, "id", "b.*")
     return first_ranks(once, k, keys, "of", "place", "id").drop("of", "place")
 
 

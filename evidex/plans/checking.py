@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from evidex.functions import classify as C
 from evidex.functions import lexicons as L
 from evidex.functions import scoring, text
-from evidex.operators import answers, checks, monitoring, understand
+from evidex.operators import answers, checks, monitoring, texts, understand
 from evidex.operators import retrieve as R
 from evidex.plans import sql as S
 from evidex.operators.validate import validate_documents
@@ -61,21 +61,11 @@ def _decompose_sql() -> str:
     return " union all ".join(parts)
 
 
-def _term_vectors(df, key, column):
-    """Texts as 64 term counts, the vector a search of meaning would get from a model."""
-    sparse = R.sparse_vectors(df, key, column)
-    parts = sparse.groupBy(key, (F.col("idx") % 64).alias("i")).agg(F.round(F.sum("weight"), 6).alias("w"))  # copies of a text must not differ in the last digits of a sum
-    held = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
-
-
 def _subquery_hits(spark, d, asked):
     subs = understand.decompose(asked(spark, d)).withColumn("key", F.concat_ws("/", F.col("query_id").cast("string"), "sub_id"))
-    keyed = subs.select(F.col("key").alias("query_id"), "sub_query")
-    records = table(spark, d, "doc_records").select(F.col("record_id").alias("id"), "content")
-    dense = R.dense_topk(_term_vectors(keyed, "query_id", "sub_query"), _term_vectors(records, "id", "content"), 5)
-    sparse = R.sparse_topk(R.sparse_vectors(keyed, "query_id", "sub_query"), R.sparse_vectors(records, "id", "content"), 5)
-    found = answers.dense_first(dense, sparse, 5, "query_id")
+    keyed = subs.select(F.col("key").alias("query_id"), F.col("sub_query").alias("query"))
+    hits = texts.search(keyed, table(spark, d, "doc_records").select(F.col("record_id").alias("id"), F.col("content").alias("text")), 5, 5)
+    found = answers.lists_in_turn(hits, 5, "query_id")
     return found.select(F.split("query_id", "/")[0].cast("bigint").alias("query_id"), F.split("query_id", "/")[1].alias("sub_id"), "id", F.col("rank").cast("bigint").alias("rank"))
 
 
