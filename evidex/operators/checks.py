@@ -11,26 +11,33 @@ from evidex.functions import lexicons as L
 from evidex.functions.text import BLANK, hits
 
 
+def stance(title: Column, text: Column) -> dict[str, Column]:
+    """What contradictions() needs of a text: w, the words of its topic; z, as bits, of which pairs of OPPOSITES it has the one side, and above them the other."""
+    title, text = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, text))
+    sides = [words for side in (1, 2) for words in (pair[side] for pair in L.OPPOSITES)]
+    bits = lambda t: reduce(lambda a, b: a.bitwiseOR(b), (F.when(t.contains(words), F.lit(1 << i)).otherwise(F.lit(0)) for i, words in enumerate(sides)))
+    # the variable of a function holds the text in lower case, which is else made anew for each pair
+    return {"w": F.array_distinct(F.filter(F.split(title, f"[{BLANK}]+"), lambda w: F.length(w) > 4)), "z": F.transform(F.array(text), bits)[0]}
+
+
 def contradictions(chunks: DataFrame) -> DataFrame:
     """(query_id, a, b, kind, evidence): pairs of a query's chunks on one topic with opposed words.
 
     ``chunks`` (query_id, id, title, text) are the short list of hits of each query. Topic: a shared
-    word of more than four letters in the titles. Pairs come from a join on such words.
+    word of more than four letters in the titles.
     """
-    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    rows = chunks.select("query_id", "id", lower("text").alias("t"), F.array_distinct(F.filter(F.split(lower("title"), f"[{BLANK}]+"), lambda w: F.length(w) > 4)).alias("w"))
-    words = rows.select("query_id", "id", F.explode("w").alias("w"))
-    a, b = words.withColumnRenamed("id", "a"), words.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["query_id", "w"]).where("a < b").select("query_id", "a", "b").distinct()
-    texts = rows.select("query_id", "id", "t")
-    both = pairs.join(texts.select("query_id", F.col("id").alias("a"), F.col("t").alias("ta")), ["query_id", "a"]).join(texts.select("query_id", F.col("id").alias("b"), F.col("t").alias("tb")), ["query_id", "b"])
-    found = F.array(
-        *[
-            F.when((F.col("ta").contains(x) & F.col("tb").contains(y)) | (F.col("ta").contains(y) & F.col("tb").contains(x)), F.struct(F.lit(kind).alias("kind"), F.lit(f"{x} vs {y}").alias("evidence")))
-            for kind, x, y in L.OPPOSITES
-        ]
-    )
-    return both.select("query_id", "a", "b", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("query_id", "a", "b", "f.kind", "f.evidence")
+    return opposed(chunks.select("query_id", "id", *[c.alias(n) for n, c in stance(F.col("title"), F.col("text")).items()]))
+
+
+def opposed(chunks: DataFrame) -> DataFrame:
+    """contradictions() of ``chunks`` (query_id, id, w, z) as stance() tells them: a query's hits meet in one row, and texts are not moved."""
+    kept = chunks.where("query_id is not null and z <> 0")
+    lists = kept.groupBy("query_id").agg(F.collect_list(F.struct("id", "w", "z")).alias("l"))
+    pairs = lists.select("query_id", "l", F.explode("l").alias("a")).select("query_id", "a", F.explode("l").alias("b")).where("a.id < b.id and arrays_overlap(a.w, b.w)")
+    n = len(L.OPPOSITES)
+    met = F.expr(f"(a.z & shiftright(b.z, {n})) | (b.z & shiftright(a.z, {n}))")
+    found = F.array(*[F.when(met.bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(kind).alias("kind"), F.lit(f"{x} vs {y}").alias("evidence"))) for i, (kind, x, y) in enumerate(L.OPPOSITES)])
+    return pairs.select("query_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("query_id", "a", "b", "f.kind", "f.evidence")
 
 
 def warnings(text: Column) -> Column:

@@ -17,7 +17,7 @@ from evidex.operators import retrieve as R
 from evidex.plans import sql as S
 from evidex.operators.validate import validate_documents
 from evidex.plans.expressions import _CHUNKS, _DOCS, _JUDGED, chunks
-from evidex.plans.retrieval import _Q, _context, _dense_sql, _lower, _postings, _sparse_topk_sql, _vectors, over_titles, questions
+from evidex.plans.retrieval import _Q, _context, _dense_sql, _hits, _lower, _postings, _sparse_topk_sql, _vectors, over_titles, questions
 from evidex.runtime import materialize, table
 
 NOW = 2026  # the year citations are aged against
@@ -96,7 +96,9 @@ def _deep_sql() -> str:
 
 def contradictions(spark, d, asked=questions):
     """Opposed words in the hits of a question that share a topic."""
-    return checks.contradictions(_context(spark, d, asked).select("query_id", "id", "title", F.col("content").alias("text")))
+    stances = checks.stance(F.col("title"), F.col("content"))
+    records = table(spark, d, "doc_records").select(F.col("record_id").alias("id"), *[c.alias(n) for n, c in stances.items()]).where("z <> 0")
+    return checks.opposed(_hits(spark, d, asked).select("query_id", "id").join(records, "id"))
 
 
 def _contradictions_sql() -> str:

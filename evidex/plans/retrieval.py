@@ -10,6 +10,7 @@ from evidex.functions import classify as C
 from evidex.functions import lexicons as L
 from evidex.functions import text
 from evidex.operators import retrieve as R
+from evidex.operators import texts
 from evidex.plans import sql as S
 from evidex.plans.expressions import _DOCS, documents
 from evidex.runtime import materialize, table
@@ -231,9 +232,15 @@ _MMR = f"""with recursive c as materialized ({_dense_sql(20)}), s as materialize
  select query_id, pos, id from m"""
 
 
+def _hits(spark, d, asked=questions):
+    """The twenty records that share most weight of terms with each question."""
+    records = table(spark, d, "doc_records").select(F.col("record_id").alias("id"), F.col("content").alias("text"))
+    return texts.search(asked(spark, d), records, 20).drop("of")
+
+
 def _context(spark, d, asked=questions):
     """Chunks of the records found for each question, in order of rank."""
-    hits = R.sparse_topk(R.sparse_vectors(asked(spark, d), "query_id", "query"), R.sparse_vectors(table(spark, d, "doc_records"), "record_id", "content").withColumnRenamed("record_id", "id"), 20)
+    hits = _hits(spark, d, asked)
     docs = documents(spark, d).withColumn("kind", C.doc_type(F.col("t"))).withColumn("level", C.evidence_level(F.col("kind"))).withColumn("india", text.contains_any(F.col("t"), L.INDIA_WORDS))
     return hits.join(docs.withColumnRenamed("record_id", "id"), "id")
 

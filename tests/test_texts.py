@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from evidex.operators import retrieve as R
@@ -72,3 +73,14 @@ def test_sub_queries_move_hits_not_postings(spark, tmp_path):
     moved = shuffled(spark, lambda: found.extend(query(spark, str(tmp_path)).collect()))
     assert len(found) == 2000 // 10 * 2 * 5
     assert moved < 30_000  # a row for each pair of question and record that share a term would be 800,000
+
+
+def test_deep_confidence_moves_hits_not_postings_or_texts(spark, tmp_path):
+    records(spark, tmp_path, 2000)
+    query, sql = checking.QUERIES["deep_confidence_titles"]
+    found = []
+    moved = shuffled(spark, lambda: found.extend(query(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view doc_records as select * from '{tmp_path}/doc_records.parquet/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(con.execute(sql).fetchall()) and len(found) == 200
+    assert moved < 60_000
