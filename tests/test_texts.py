@@ -1,12 +1,13 @@
 """Search of many texts by many texts, and what follows from it over the titles of a table: results, and how little is moved."""
 
 import random
+import re
 
 import duckdb
 import pytest
 
+from evidex.operators import merge, texts
 from evidex.operators import retrieve as R
-from evidex.operators import texts
 from evidex.plans import checking
 
 WORDS = "treatment of heart failure in adults with stroke or gout after insulin type 2 diabetes hypertensive-state immunoglobulins aspirin dose trial".split()
@@ -84,3 +85,20 @@ def test_deep_confidence_moves_hits_not_postings_or_texts(spark, tmp_path):
     con.execute(f"create view doc_records as select * from '{tmp_path}/doc_records.parquet/*.parquet'")
     assert sorted(map(tuple, found)) == sorted(con.execute(sql).fetchall()) and len(found) == 200
     assert moved < 60_000
+
+
+def test_title_pairs_move_rare_substrings_not_candidates(spark):
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices(["ka", "lo", "mi", "ren", "sto", "高血", "ив"], k=4)) for _ in range(60)]
+    rows = [(rnd.choice(["who", "cdc", None]), f"{rnd.choice(['Effect', 'Safety'])} of {rnd.choice(names)} in {rnd.choice(['gout', 'stroke', 'adults', '治疗'])}: study {rnd.randint(2000, 2012)}") for _ in range(600)]
+    rows += [("who", "abc"), ("who", "ABC."), ("who", "abcd"), ("who", "ab"), ("who", ""), ("who", None)]
+    df = spark.createDataFrame(rows, "source_type string, title string").repartition(3)
+    clean = {(s, re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", t.lower())).strip()) for s, t in rows if s and t}
+    grams = {t: {t[i : i + 3] for i in range(len(t) - 2)} for _, t in clean}
+    for minimum in (0.6, 0.8, 1.0):
+        want = {(s, a, b) for s, a in clean for u, b in clean if s == u and a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= minimum}
+        found = []
+        moved = shuffled(spark, lambda: found.extend((r.source_type, r.title_a, r.title_b) for r in merge.title_duplicates(df, minimum).collect()))
+        assert len(found) == len(set(found)) and set(found) == want and (len(want) > 50 or minimum == 1)
+        assert moved < (60 if minimum < 0.7 else 30) * len(clean)  # the substrings of each alone are about 30, and were moved three times
+    assert not merge.title_duplicates(df.limit(0)).count()
