@@ -71,17 +71,18 @@ def _sparse_scores(asked: tuple, row: np.ndarray, idx: np.ndarray, weight: np.nd
     """As _dense_scores() for inner products of weights; texts without a term of the query take no part."""
     first, terms, weights = asked
     order = np.argsort(idx, kind="stable")
-    ends = np.searchsorted(idx[order], [terms, terms + 1]).T.tolist()
-    row, weight, weights, first = row[order], weight[order], weights.tolist(), first.tolist()
+    row, idx, weight = row[order], idx[order], weight[order]
+    begins, ends = np.searchsorted(idx, terms), np.searchsorted(idx, terms + 1)
     score = np.empty(n)
     for at in range(0, len(first) - 1, SCORE_BLOCK):
-        found = []
-        for q in range(at, min(at + SCORE_BLOCK, len(first) - 1)):
+        found, of = [], first[at : at + SCORE_BLOCK + 1]
+        held = list(zip(*(x[of[0] : of[-1]].tolist() for x in (begins, ends, weights))))
+        of = (of - of[0]).tolist()
+        for q in range(at, at + len(of) - 1):
             score[:] = 0
-            for t in range(first[q], first[q + 1]):
-                a, b = ends[t]
+            for a, b, w in held[of[q - at] : of[q - at + 1]]:
                 if a < b:
-                    score[row[a:b]] += weights[t] * weight[a:b]
+                    score[row[a:b]] += w * weight[a:b]
             j = np.flatnonzero(score >= bound[q] - 1e-9) if bound[q] > 1e-9 else np.flatnonzero(score)
             if len(j) > 4 * k:
                 s = score[j]
